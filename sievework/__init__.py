@@ -1 +1,9 @@
-"""Part of sievework, a Spark-native engine for postings and documents."""
+"""sievework: a Spark-native engine for cleaning, matching and ranking postings and documents."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions sent to Python workers travel with their code, so that executors
+# need no copy of this package on their path.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
