@@ -1,0 +1,24 @@
+"""Queries of the problems in this subpackage and their SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..session import table
+from .names import name_variants, variant_pairs
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of company spellings that name the same employer."""
+    return variant_pairs(name_variants(table(spark, sf_dir, "jobs")))
+
+
+def p4_employers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each company spelling, its rows and its employer's cluster."""
+    return name_variants(table(spark, sf_dir, "jobs"))
+
+
+QUERIES = {"p4_found": p4_found, "p4_employers": p4_employers}
+
+ORACLES: dict[str, str] = {}
