@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
+from .canonical import canonical_fields
 from .names import name_variants, variant_pairs
 
 
@@ -19,6 +20,12 @@ def p4_employers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return name_variants(table(spark, sf_dir, "jobs"))
 
 
-QUERIES = {"p4_found": p4_found, "p4_employers": p4_employers}
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reference entry meant by each typed title and location, 0 if there is none."""
+    t = lambda name: table(spark, sf_dir, name)
+    return canonical_fields(t("jobs"), t("ref_titles"), t("ref_locations"))
+
+
+QUERIES = {"p5_found": p5_found, "p4_found": p4_found, "p4_employers": p4_employers}
 
 ORACLES: dict[str, str] = {}
