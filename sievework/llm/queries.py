@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..session import table
 from .canonical import canonical_fields
+from .neardup import near_duplicate_pairs
 from .names import name_variants, variant_pairs
 
 
@@ -26,6 +27,11 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canonical_fields(t("jobs"), t("ref_titles"), t("ref_locations"))
 
 
-QUERIES = {"p5_found": p5_found, "p4_found": p4_found, "p4_employers": p4_employers}
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of postings that are largely the same in spite of edits."""
+    return near_duplicate_pairs(table(spark, sf_dir, "jobs"), "id", ["title", "company", "description"], similarity=0.6, width=3, least_words=20).select("id_a", "id_b")
+
+
+QUERIES = {"p3_found": p3_found, "p5_found": p5_found, "p4_found": p4_found, "p4_employers": p4_employers}
 
 ORACLES: dict[str, str] = {}
