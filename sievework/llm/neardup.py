@@ -88,10 +88,12 @@ class NearDuplicates:
     ``words``: id, words (see :func:`word_hashes`); ids are unique. Rows with equal
     sets are one node, so a group of copies of any size costs one node a batch.
     Nodes are joined by 40 bits of the set's hash; sets that share these by chance
-    are told apart when overlaps are counted.
+    are told apart when overlaps are counted. ``queries``, a condition on id, asks
+    only for pairs of which at least one row fulfils it.
     """
 
-    def __init__(self, words: DataFrame, similarity: float, width: int = 5, hot_share: float = 0.01, runs: tuple = RUNS):
+    def __init__(self, words: DataFrame, similarity: float, width: int = 5, hot_share: float = 0.01, runs: tuple = RUNS, queries: Column | None = None):
+        self.queries = queries
         self.similarity, self.width = similarity, width
         self.words = materialise(words, "words")
         self.runs, self.hot_share = runs, hot_share
@@ -99,13 +101,20 @@ class NearDuplicates:
         self.sets = nodes
         self.members = self.words.mapInArrow(_members(width), "id bigint, node bigint")
 
+    def keys(self, words: DataFrame, hot: np.ndarray) -> DataFrame:
+        """``key, node``: the fragments of each set, spread by key, each once."""
+        keys = words.select("words").mapInArrow(_keys(self.width, hot, self.runs), "key bigint, node bigint")
+        return keys.repartition("key").groupBy("key", "node").agg(F.lit(1).alias("one")).select("key", "node")
+
     def candidates(self) -> DataFrame:
         """``a, b``: nodes that agree on a fragment, a < b."""
         hot = hot_shingles(self.words, self.width, self.hot_share)
-        keys = self.words.select("words").mapInArrow(_keys(self.width, hot, self.runs), "key bigint, node bigint")
-        keys = keys.repartition("key").groupBy("key", "node").agg(F.lit(1).alias("one"))
-        a, b = keys.select("key", F.col("node").alias("a")), keys.select("key", F.col("node").alias("b"))
-        return a.join(b, "key").where("a < b").select("a", "b").distinct()
+        keys = self.keys(self.words, hot)
+        a, b = keys.toDF("key", "a"), keys.toDF("key", "b")
+        if self.queries is None:
+            return a.join(b, "key").where("a < b").select("a", "b").distinct()
+        a = self.keys(self.words.where(self.queries), hot).toDF("key", "a")
+        return a.join(b, "key").where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
     def node_pairs(self) -> DataFrame:
         """``a, b, similarity`` of the different sets that are similar enough."""

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..session import table
 from .canonical import canonical_fields
+from .incremental import known_rows
 from .neardup import near_duplicate_pairs
 from .names import name_variants, variant_pairs
 
@@ -32,6 +33,12 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_pairs(table(spark, sf_dir, "jobs"), "id", ["title", "company", "description"], similarity=0.6, width=3, least_words=20).select("id_a", "id_b")
 
 
-QUERIES = {"p3_found": p3_found, "p5_found": p5_found, "p4_found": p4_found, "p4_employers": p4_employers}
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Incoming postings that jobs or earlier accepted postings already hold."""
+    jobs, new = table(spark, sf_dir, "jobs"), table(spark, sf_dir, "incoming_jobs")
+    return known_rows(jobs, new, "id", "incoming_id", similarity=0.6, width=3, least_words=20).select(F.col("id").alias("incoming_id"))
+
+
+QUERIES = {"p7_found": p7_found, "p3_found": p3_found, "p5_found": p5_found, "p4_found": p4_found, "p4_employers": p4_employers}
 
 ORACLES: dict[str, str] = {}
