@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from ..session import table
 from .canonical import canonical_fields
 from .incremental import known_rows
-from .neardup import near_duplicate_pairs
+from .leaks import decontaminated, leaks
 from .names import name_variants, variant_pairs
+from .neardup import near_duplicate_pairs
+from .reading import reading_levels
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,6 +41,21 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return known_rows(jobs, new, "id", "incoming_id", similarity=0.6, width=3, least_words=20).select(F.col("id").alias("incoming_id"))
 
 
-QUERIES = {"p7_found": p7_found, "p3_found": p3_found, "p5_found": p5_found, "p4_found": p4_found, "p4_employers": p4_employers}
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a run of an evaluation item, with the item."""
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+def p8_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with leaks: dropped, or with the leaked words cut out."""
+    return decontaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How demanding each English document is to read, in three bands."""
+    return reading_levels(table(spark, sf_dir, "documents")).select("doc_id", "band")
+
+
+QUERIES = {"p8_found": p8_found, "p8_cleaned": p8_cleaned, "p10_found": p10_found, "p7_found": p7_found, "p3_found": p3_found, "p5_found": p5_found, "p4_found": p4_found, "p4_employers": p4_employers}
 
 ORACLES: dict[str, str] = {}
