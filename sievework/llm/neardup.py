@@ -69,10 +69,13 @@ def _keys(width: int, hot: np.ndarray, runs: tuple):
         for b in batches:
             doc, h = shingle_sets(b.column("words"), width)
             ident, size = set_nodes(doc, h, b.num_rows)
+            asked = b.column("asked").to_numpy(zero_copy_only=False).astype(bool)
             keep = np.zeros(b.num_rows, bool)
-            keep[np.unique(ident, return_index=True)[1]] = True
+            for side in (asked, ~asked):
+                at = np.flatnonzero(side)
+                keep[at[np.unique(ident[at], return_index=True)[1]]] = True
             d, k = fragment_keys(doc, h, np.where(keep, size, 1 << 31), hot, runs)
-            yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int64)), pa.array((ident[d] & _NODE).astype(np.int64))], ["key", "node"])
+            yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int64)), pa.array((ident[d] & _NODE).astype(np.int64)), pa.array(asked[d])], ["key", "node", "asked"])
 
     return keys
 
@@ -101,20 +104,18 @@ class NearDuplicates:
         self.sets = nodes
         self.members = self.words.mapInArrow(_members(width), "id bigint, node bigint")
 
-    def keys(self, words: DataFrame, hot: np.ndarray) -> DataFrame:
-        """``key, node``: the fragments of each set, spread by key, each once."""
-        keys = words.select("words").mapInArrow(_keys(self.width, hot, self.runs), "key bigint, node bigint")
-        return keys.repartition("key").groupBy("key", "node").agg(F.lit(1).alias("one")).select("key", "node")
-
     def candidates(self) -> DataFrame:
         """``a, b``: nodes that agree on a fragment, a < b."""
         hot = hot_shingles(self.words, self.width, self.hot_share)
-        keys = self.keys(self.words, hot)
-        a, b = keys.toDF("key", "a"), keys.toDF("key", "b")
+        asked = F.lit(True) if self.queries is None else self.queries
+        keys = self.words.select("words", asked.alias("asked")).mapInArrow(_keys(self.width, hot, self.runs), "key bigint, node bigint, asked boolean")
         if self.queries is None:
-            return a.join(b, "key").where("a < b").select("a", "b").distinct()
-        a = self.keys(self.words.where(self.queries), hot).toDF("key", "a")
-        return a.join(b, "key").where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+            keys = keys.select("key", "node").repartition("key").groupBy("key", "node").agg(F.lit(1).alias("one"))
+            pairs = keys.select("key", F.col("node").alias("a")).join(keys.select("key", F.col("node").alias("b")), "key").where("a < b")
+            return pairs.select("a", "b").distinct()
+        keys = keys.repartition("key").groupBy("key", "node").agg(F.max("asked").alias("asked"))
+        pairs = keys.where("asked").select("key", F.col("node").alias("a")).join(keys.select("key", F.col("node").alias("b")), "key").where("a != b")
+        return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
     def node_pairs(self) -> DataFrame:
         """``a, b, similarity`` of the different sets that are similar enough."""
