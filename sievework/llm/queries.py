@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.units import annual_pay
 from ..session import table
 from .canonical import canonical_fields
+from .fusion import fused_values, posting_claims, survivors
 from .incremental import known_rows
 from .leaks import decontaminated, leaks
+from .mixing import mixture
 from .names import name_variants, variant_pairs
 from .neardup import near_duplicate_pairs
 from .reading import reading_levels
@@ -56,6 +59,45 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reading_levels(table(spark, sf_dir, "documents")).select("doc_id", "band")
 
 
-QUERIES = {"p8_found": p8_found, "p8_cleaned": p8_cleaned, "p10_found": p10_found, "p7_found": p7_found, "p3_found": p3_found, "p5_found": p5_found, "p4_found": p4_found, "p4_employers": p4_employers}
+def _pay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return annual_pay(*[table(spark, sf_dir, name) for name in ("jobs", "boards", "fx_rates", "pay_periods")])
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows that supply description, pay and posting time of each fingerprint."""
+    return survivors(table(spark, sf_dir, "jobs"), _pay(spark, sf_dir), table(spark, sf_dir, "boards"))
+
+
+def p6_fused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The most probable value of each field of each fingerprint, copied votes discounted."""
+    values, _ = fused_values(posting_claims(table(spark, sf_dir, "jobs"), _pay(spark, sf_dir)))
+    return values.select(F.col("g.x").alias("group_hash"), F.col("field").alias("field_name"), F.col("id").alias("row_id"), "probability", "n_claims")
+
+
+def p6_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Estimated accuracy of each source and the source on which it depends most."""
+    _, learned = fused_values(posting_claims(table(spark, sf_dir, "jobs"), _pay(spark, sf_dir)))
+    return spark.createDataFrame(learned, "source string, accuracy double, copied_from string, dependence double")
+
+
+def _mixture(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> tuple[DataFrame, DataFrame]:
+    if vocabulary is None:
+        import public_tokenizers
+
+        vocabulary = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"), vocabulary)
+
+
+def p9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents of the mixture, for which source and how often each is used."""
+    return _mixture(spark, sf_dir)[0]
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and reached share of each source of the mixture."""
+    return _mixture(spark, sf_dir)[1]
+
+
+QUERIES = {"p6_found": p6_found, "p6_fused": p6_fused, "p6_sources": p6_sources, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p8_found": p8_found, "p8_cleaned": p8_cleaned, "p10_found": p10_found, "p7_found": p7_found, "p3_found": p3_found, "p5_found": p5_found, "p4_found": p4_found, "p4_employers": p4_employers}
 
 ORACLES: dict[str, str] = {}
