@@ -23,12 +23,30 @@ from .shingles import fragment_keys, hot_shingles, set_nodes, shingle_sets, word
 #: Ranges of the global order over which partial overlaps are bounded.
 FRAGMENTS = 64
 #: (length of a run, largest set that uses it): shorter runs help small sets.
-RUNS = ((5, 1 << 30), (4, 100), (3, 50))
+RUNS = ((5, 1 << 30), (4, 115), (3, 50))
+#: Bits of the map of nodes whose n-grams are wanted.
+NODE_BITS = 22
 _NODE = np.uint64((1 << 40) - 1)
 
 
-def _node_rows(width: int):
-    """One row per distinct set of a partition's batches: node, size, parts, grams."""
+def wanted_bits(nodes: DataFrame) -> np.ndarray:
+    """A bitmap over the low bits of nodes, of fixed size: 128 pieces come to the driver, whatever the number of nodes."""
+
+    def piece(pdf: pd.DataFrame) -> pd.DataFrame:
+        bits = np.zeros(1 << (NODE_BITS - 7), bool)
+        bits[pdf["bit"].to_numpy() & ((1 << (NODE_BITS - 7)) - 1)] = True
+        return pd.DataFrame({"piece": pdf["piece"].iloc[:1], "bits": [np.packbits(bits).tobytes()]})
+
+    low = nodes.select(F.col("node").bitwiseAND((1 << NODE_BITS) - 1).cast("int").alias("bit")).distinct()
+    got = low.select(F.shiftright("bit", NODE_BITS - 7).alias("piece"), "bit").groupBy("piece").applyInPandas(piece, "piece int, bits binary").collect()
+    out = np.zeros((128, 1 << (NODE_BITS - 7)), bool)
+    for r in got:
+        out[r.piece] = np.unpackbits(np.frombuffer(r.bits, np.uint8)).astype(bool)
+    return out.ravel()
+
+
+def _node_rows(width: int, wanted: np.ndarray | None = None):
+    """One row per distinct set of a partition's batches: node, size, parts, grams; wanted, if given, is a bitmap of nodes."""
 
     def nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -36,6 +54,8 @@ def _node_rows(width: int):
             ident, size = set_nodes(doc, h, b.num_rows)
             first = np.sort(np.unique(ident, return_index=True)[1]) if b.num_rows else np.empty(0, np.int64)
             first = first[size[first] > 0]
+            if wanted is not None:
+                first = first[wanted[(ident[first] & np.uint64((1 << NODE_BITS) - 1)).astype(np.int64)]]
             cell = np.bincount(doc * FRAGMENTS + (h >> np.uint64(34)).astype(np.int64), minlength=b.num_rows * FRAGMENTS).reshape(b.num_rows, FRAGMENTS)
             parts = np.minimum(cell, 255).astype(np.uint8)
             keep = np.zeros(b.num_rows, bool)
@@ -100,10 +120,12 @@ class NearDuplicates:
         self.similarity, self.width = similarity, width
         self.words = materialise(words, "words")
         self.runs, self.hot_share = runs, hot_share
-        nodes = self.words.select("words").mapInArrow(_node_rows(width), "node bigint, n int, parts binary, grams array<int>")
-        self.sets = nodes
         self.members = self.words.mapInArrow(_members(width), "id bigint, node bigint")
 
+    def sets(self, wanted: np.ndarray | None = None) -> DataFrame:
+        """``node, n, parts, grams``: size, counts per range of the order, and 32-bit hashes of each set."""
+        return self.words.select("words").mapInArrow(_node_rows(self.width, wanted), "node bigint, n int, parts binary, grams array<int>")
+
     def candidates(self) -> DataFrame:
         """``a, b``: nodes that agree on a fragment, a < b."""
         hot = hot_shingles(self.words, self.width, self.hot_share)
@@ -114,13 +136,15 @@ class NearDuplicates:
             pairs = keys.select("key", F.col("node").alias("a")).join(keys.select("key", F.col("node").alias("b")), "key").where("a < b")
             return pairs.select("a", "b").distinct()
         keys = keys.repartition("key").groupBy("key", "node").agg(F.max("asked").alias("asked"))
-        pairs = keys.where("asked").select("key", F.col("node").alias("a")).join(keys.select("key", F.col("node").alias("b")), "key").where("a != b")
+        # both sides need all three columns, else they would be spread twice
+        held = keys.where(F.col("asked").isNotNull())
+        pairs = keys.where("asked").select("key", F.col("node").alias("a")).join(held.select("key", F.col("node").alias("b")), "key").where("a != b")
         return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
     def node_pairs(self) -> DataFrame:
         """``a, b, similarity`` of the different sets that are similar enough."""
         t = self.similarity
-        parts = self.sets.select("node", "n", "parts").dropDuplicates(["node"])
+        parts = self.sets().select("node", "n", "parts").dropDuplicates(["node"])
         pairs = self.candidates()
         pairs = pairs.join(parts.toDF("a", "n_a", "p_a"), "a").join(parts.toDF("b", "n_b", "p_b"), "b")
 
@@ -132,7 +156,7 @@ class NearDuplicates:
 
         need = least_overlap(F.col("n_a"), F.col("n_b"), t)
         near = materialise(pairs.where((F.least("n_a", "n_b") >= need)).where(most_overlap("p_a", "p_b") >= need).select("a", "b"), "near")
-        grams = self.sets.select("node", "n", "grams").dropDuplicates(["node"])
+        grams = self.sets(wanted_bits(near.select(F.explode(F.array("a", "b")).alias("node")))).select("node", "n", "grams").dropDuplicates(["node"])
         both = near.join(grams.toDF("a", "n_a", "g_a"), "a").join(grams.toDF("b", "n_b", "g_b"), "b")
         overlap = F.size(F.array_intersect("g_a", "g_b"))
         both = both.select("a", "b", "n_a", "n_b", F.inline(F.array(F.struct(overlap.alias("o")))))
