@@ -36,17 +36,17 @@ def balanced(text: str | None) -> str | None:
     return None
 
 
-@F.pandas_udf("string")
-def _balanced(s: pd.Series) -> pd.Series:
-    return s.map(balanced)
-
-
 def extract_json(c: Column) -> Column:
     """JSON text out of a model's answer: reasoning blocks and special tokens are dropped first.
 
     The balanced scan is no regular expression, so it runs in Arrow batches.
     """
-    return _balanced(F.regexp_replace(c, r"(?is)<think>.*?</think>|<\|[^|>]*\|>", " "))
+
+    @F.pandas_udf("string")
+    def scan(s: pd.Series) -> pd.Series:
+        return s.map(balanced)
+
+    return scan(F.regexp_replace(c, r"(?is)<think>.*?</think>|<\|[^|>]*\|>", " "))
 
 
 def parsed(c: Column, schema: str) -> Column:
