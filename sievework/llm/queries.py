@@ -100,4 +100,26 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"p6_found": p6_found, "p6_fused": p6_fused, "p6_sources": p6_sources, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p8_found": p8_found, "p8_cleaned": p8_cleaned, "p10_found": p10_found, "p7_found": p7_found, "p3_found": p3_found, "p5_found": p5_found, "p4_found": p4_found, "p4_employers": p4_employers}
 
-ORACLES: dict[str, str] = {}
+
+
+def _words(c: str) -> str:
+    clean = rf"regexp_replace(regexp_replace({c}, '<[^>]*>|&[#A-Za-z0-9]{{1,10}};', ' ', 'g'), '[\x{{200B}}\x{{200C}}\x{{200D}}\x{{2060}}\x{{FEFF}}\x{{00AD}}]', '', 'g')"
+    return rf"coalesce(regexp_extract_all(lower({clean}), '[\p{{L}}\p{{N}}]+'), [])"
+
+
+# The others have none: their SQL would repeat the operator (2, 4, 5, 6, 9, 10) or can't be said without recursion (7).
+# They are tested against brute force and fixtures.
+ORACLES: dict[str, str] = {
+    "p3_found": f"""
+WITH w AS (SELECT id, list_concat(list_concat({_words('title')}, {_words('company')}), {_words('description')}) AS w, len({_words('description')}) AS n FROM jobs),
+s AS (SELECT DISTINCT id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT id, w, unnest(range(1, len(w) - 1)) AS i FROM w WHERE n >= 20) t),
+c AS (SELECT id, count(*) AS n FROM s GROUP BY id),
+o AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS o FROM s a JOIN s b ON a.g = b.g AND a.id < b.id GROUP BY ALL)
+SELECT id_a, id_b FROM o JOIN c a ON a.id = id_a JOIN c b ON b.id = id_b WHERE o * 10 >= 6 * (a.n + b.n - o)""",
+    "p8_found": f"""
+WITH d AS (SELECT doc_id, {_words('text')} AS w FROM documents), i AS (SELECT item_id, {_words('text')} AS w FROM eval_items),
+g AS (SELECT item_id, least(12, len(w)) AS n, array_to_string(w[k:k + least(12, len(w)) - 1], ' ') AS run FROM (SELECT item_id, w, unnest(range(1, len(w) - least(12, len(w)) + 2)) AS k FROM i WHERE len(w) > 0) t),
+n AS (SELECT DISTINCT n FROM g),
+h AS (SELECT doc_id, n, array_to_string(w[k:k + n - 1], ' ') AS run FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM d CROSS JOIN n WHERE len(w) >= n) t)
+SELECT DISTINCT doc_id, item_id FROM h JOIN g USING (n, run)""",
+}
