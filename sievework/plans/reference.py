@@ -164,8 +164,8 @@ def work_place(t) -> DataFrame:
  y AS (SELECT id, t, regexp_matches(t, 'fresher|entry[ -]level|(?:^|[^0-9])0 years') AS fresh, regexp_extract(t, '(\d+(?:\.\d+)?)\s*(?:-|–|—|to)\s*(\d+(?:\.\d+)?)', ['a', 'b']) AS s,
  regexp_extract(t, '(\d+(?:\.\d+)?)\s*\+', 1) AS p, regexp_extract(t, '(?:min(?:imum)?|at least|over)\s*(\d+(?:\.\d+)?)', 1) AS l, regexp_extract(t, '(?:up to|max(?:imum)?|under)\s*(\d+(?:\.\d+)?)', 1) AS m,
  regexp_extract(t, '(\d+(?:\.\d+)?)\s*(?:years?|yrs?)', 1) AS n FROM x)
- SELECT id, CASE WHEN t IS NULL THEN NULL WHEN fresh THEN 0.0 WHEN s.a <> '' THEN least(s.a::DOUBLE, s.b::DOUBLE) WHEN p <> '' THEN p::DOUBLE WHEN l <> '' THEN l::DOUBLE WHEN m <> '' THEN NULL ELSE try_cast(nullif(n, '') AS DOUBLE) END AS min_years,
- CASE WHEN t IS NULL OR fresh THEN NULL WHEN s.a <> '' THEN greatest(s.a::DOUBLE, s.b::DOUBLE) WHEN p <> '' OR l <> '' THEN NULL ELSE try_cast(nullif(m, '') AS DOUBLE) END AS max_years FROM y""")
+ SELECT id, CASE WHEN t IS NULL THEN NULL WHEN fresh THEN 0.0 WHEN s.a <> '' THEN least(try_cast(s.a AS DOUBLE), try_cast(s.b AS DOUBLE)) WHEN p <> '' THEN try_cast(p AS DOUBLE) WHEN l <> '' THEN try_cast(l AS DOUBLE) WHEN m <> '' THEN NULL ELSE try_cast(nullif(n, '') AS DOUBLE) END AS min_years,
+ CASE WHEN t IS NULL OR fresh THEN NULL WHEN s.a <> '' THEN greatest(try_cast(s.a AS DOUBLE), try_cast(s.b AS DOUBLE)) WHEN p <> '' OR l <> '' THEN NULL ELSE try_cast(nullif(m, '') AS DOUBLE) END AS max_years FROM y""")
 def experience_range(t) -> DataFrame:
     x = t("jobs").select("id", parse.experience_range(F.col("experience_required.raw")).alias("e"))
     return x.select("id", "e.min_years", "e.max_years")
