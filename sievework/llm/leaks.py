@@ -103,10 +103,9 @@ def without_spans(text: str, spans: list[tuple[int, int]], mark: str = " ") -> s
     at = [m.span(1) for m in _TOKEN.finditer(text) if m.group(1)]
     out, last, done = [], 0, -1
     for a, b in sorted(spans):
-        a = max(a, done)
-        if a < b <= len(at):
-            start = max(at[a][0], last)
-            out += [text[last:start], mark]
+        if max(a, done) < b <= len(at):
+            if a > done:  # else it goes on where the last one ended
+                out += [text[last : at[a][0]], mark]
             last, done = at[b - 1][1], b
     return "".join([*out, text[last:]])
 

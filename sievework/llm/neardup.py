@@ -23,7 +23,7 @@ from .shingles import fragment_keys, hot_shingles, set_nodes, shingle_sets, word
 #: Ranges of the global order over which partial overlaps are bounded.
 FRAGMENTS = 64
 #: (length of a run, largest set that uses it): shorter runs help small sets.
-RUNS = ((5, 1 << 30), (4, 115), (3, 50))
+RUNS = ((5, 1 << 30), (4, 100), (3, 72), (2, 36), (1, 20))
 #: Bits of the map of nodes whose n-grams are wanted.
 NODE_BITS = 22
 _NODE = np.uint64((1 << 40) - 1)

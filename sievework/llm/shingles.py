@@ -70,8 +70,8 @@ def set_nodes(doc: np.ndarray, h: np.ndarray, rows: int) -> tuple[np.ndarray, np
     return mixed(total[ends] - total[ends - size]), size
 
 
-def hot_shingles(words: DataFrame, width: int, share: float, flush: int = 3_000_000) -> np.ndarray:
-    """A bitmap over the low bits of shingles that at least ``share`` of the rows hold.
+def hot_shingles(words: DataFrame, width: int, share: float, least: int = 50, flush: int = 3_000_000) -> np.ndarray:
+    """A bitmap over the low bits of shingles that at least ``share`` of the rows, and ``least`` of them, hold.
 
     Each chunk of rows reports the shingles of at least a quarter of that share
     of its rows, so the sums miss less than a quarter of it: every shingle of the
@@ -100,7 +100,7 @@ def hot_shingles(words: DataFrame, width: int, share: float, flush: int = 3_000_
     total = counts.where("h = -1").agg(F.sum("n")).first()[0] or 0
     bits = np.zeros(1 << HOT_BITS, dtype=bool)
     if total:
-        hot = counts.where(F.col("h") >= 0).where(F.col("n") >= max(2, 0.75 * share * total)).select((F.col("h").bitwiseAND((1 << HOT_BITS) - 1)).alias("b")).distinct()
+        hot = counts.where(F.col("h") >= 0).where(F.col("n") >= max(least, 0.75 * share * total)).select((F.col("h").bitwiseAND((1 << HOT_BITS) - 1)).alias("b")).distinct()
         bits[[r.b for r in hot.collect()]] = True
     return bits
 
