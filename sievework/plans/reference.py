@@ -171,13 +171,13 @@ def experience_range(t) -> DataFrame:
     return x.select("id", "e.min_years", "e.max_years")
 
 
-@query("""SELECT id, CASE WHEN d = 0 THEN TIMESTAMP '2026-09-12' WHEN d % 7 = 0 THEN TIMESTAMP '2026-09-12' - to_days(d::INTEGER) ELSE TIMESTAMP '2026-09-12' - to_days(d::INTEGER) END AS at
+@query("""SELECT id, CASE WHEN d = 0 THEN TIMESTAMP '2026-09-12' WHEN d % 7 = 0 THEN TIMESTAMP '2026-09-12' - to_days(d::INTEGER) ELSE TIMESTAMP '2026-09-12' - to_days(d::INTEGER) END AS posted_time
  FROM (SELECT id, date_diff('day', first_seen_at::DATE, DATE '2026-09-12') AS d FROM jobs WHERE first_seen_at IS NOT NULL)""")
 def posted_at(t) -> DataFrame:
     d = F.datediff(F.lit(NOW.date()), F.col("first_seen_at").cast("date"))
     told = F.when(d == 0, "today").when(d % 7 == 0, F.concat((d / 7).cast("int"), F.lit(" weeks ago"))).otherwise(F.concat(d, F.lit(" days ago")))
     at = parse.posted_at(told, F.lit(NOW).cast("timestamp_ntz")).cast("timestamp_ntz")
-    return t("jobs").where("first_seen_at is not null").select("id", at.alias("at"))
+    return t("jobs").where("first_seen_at is not null").select("id", at.alias("posted_time"))
 
 
 @query("SELECT id, list_distinct(list_filter(list_transform(string_split_regex(coalesce(array_to_string(skills, '; '), ''), '[,;|]'), lambda s: trim(s)), lambda s: s <> '')) IS NOT NULL AND true AS ok, len(list_distinct(list_filter(list_transform(string_split_regex(coalesce(array_to_string(skills, '; '), ''), '[,;|]'), lambda s: trim(s)), lambda s: s <> '')))::INTEGER AS n_skills FROM jobs")
