@@ -136,14 +136,17 @@ def fused_values(
         a, b = np.nonzero(true + false + diff)
         yield pd.DataFrame({"a": np.concatenate([np.arange(n), a]), "b": np.concatenate([np.full(n, -1), b]), "x": np.concatenate([right, true[a, b]]), "y": np.concatenate([count, false[a, b]]), "z": np.concatenate([np.zeros(n), diff[a, b]])})
 
-    for _ in range(rounds):
+    for k in range(rounds):
         got = sets.select("c").mapInPandas(statistics, "a int, b int, x double, y double, z double").groupBy("a", "b").agg(F.sum("x").alias("x"), F.sum("y").alias("y"), F.sum("z").alias("z")).collect()
-        for r in got:
-            if r.b < 0 and r.y:
-                accuracy[r.a] = (r.x + 0.8) / (r.y + 1)
+        # dependence first, under the accuracies so far: sources that always agree mustn't make each other right
         for r in got:
             if r.b >= 0:
-                copies[r.a, r.b] = copies[r.b, r.a] = _dependence(r.x, r.y, r.z, accuracy[r.a], accuracy[r.b], wrong_values, copy_rate, prior)
+                true, false = (r.x, r.y) if k else (r.x + r.y, 0.0)  # at first nothing is known to be false
+                copies[r.a, r.b] = copies[r.b, r.a] = _dependence(true, false, r.z, accuracy[r.a], accuracy[r.b], wrong_values, copy_rate, prior)
+        if k:
+            for r in got:
+                if r.b < 0 and r.y:
+                    accuracy[r.a] = (r.x + 0.8) / (r.y + 1)
 
     def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
