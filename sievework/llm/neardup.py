@@ -9,7 +9,7 @@ these parts alone, then counted exactly.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -100,11 +100,49 @@ def _keys(width: int, hot: np.ndarray, runs: tuple):
     return keys
 
 
+def node_table(words: DataFrame, width: int, wanted: np.ndarray | None = None) -> DataFrame:
+    return words.select("words").mapInArrow(_node_rows(width, wanted), "node bigint, n int, parts binary, grams array<int>")
+
+
+def member_table(words: DataFrame, width: int) -> DataFrame:
+    return words.mapInArrow(_members(width), "id bigint, node bigint")
+
+
+def key_table(words: DataFrame, width: int, hot: np.ndarray, runs: tuple = RUNS, asked: Column | None = None) -> DataFrame:
+    flag = F.lit(True) if asked is None else asked
+    return words.select("words", flag.alias("asked")).mapInArrow(_keys(width, hot, runs), "key bigint, node bigint, asked boolean")
+
+
 def least_overlap(a: Column, b: Column, similarity: float) -> Column:
     """The overlap that sets of these sizes need for the similarity."""
     return F.ceil(similarity / (1 + similarity) * (a + b) - F.lit(1e-9))
 
 
+def verified(pairs: DataFrame, sets: Callable[..., DataFrame], similarity: float) -> DataFrame:
+    """``a, b, similarity`` of the candidate pairs that are similar enough.
+
+    ``sets(wanted)`` gives node, n, parts, grams of all sets, or of those that a
+    bitmap of nodes holds. Counts per range of the order prune first; only what
+    is left is counted exactly.
+    """
+    parts = sets().select("node", "n", "parts").dropDuplicates(["node"])
+    pairs = pairs.join(parts.toDF("a", "n_a", "p_a"), "a").join(parts.toDF("b", "n_b", "p_b"), "b")
+
+    @F.pandas_udf("int")
+    def most_overlap(x: pd.Series, y: pd.Series) -> pd.Series:
+        p, q = (np.frombuffer(b"".join(s), np.uint8).reshape(-1, FRAGMENTS) for s in (x, y))
+        full = ((p == 255) & (q == 255)).any(axis=1)  # counts above 255 aren't known
+        return pd.Series(np.where(full, 1 << 30, np.minimum(p, q).sum(axis=1, dtype=np.int64)).astype(np.int32))
+
+    need = least_overlap(F.col("n_a"), F.col("n_b"), similarity)
+    near = materialise(pairs.where(F.least("n_a", "n_b") >= need).where(most_overlap("p_a", "p_b") >= need).select("a", "b"), "near")
+    grams = sets(wanted_bits(near.select(F.explode(F.array("a", "b")).alias("node")))).select("node", "n", "grams").dropDuplicates(["node"])
+    both = near.join(grams.toDF("a", "n_a", "g_a"), "a").join(grams.toDF("b", "n_b", "g_b"), "b")
+    overlap = F.size(F.array_intersect("g_a", "g_b"))
+    both = both.select("a", "b", "n_a", "n_b", F.inline(F.array(F.struct(overlap.alias("o")))))
+    return both.where(F.col("o") >= least_overlap(F.col("n_a"), F.col("n_b"), similarity)).select("a", "b", (F.col("o") / (F.col("n_a") + F.col("n_b") - F.col("o"))).alias("similarity"))
+
+
 class NearDuplicates:
     """Sets of word shingles of texts, and the pairs of them that are similar.
 
@@ -120,17 +158,16 @@ class NearDuplicates:
         self.similarity, self.width = similarity, width
         self.words = materialise(words, "words")
         self.runs, self.hot_share = runs, hot_share
-        self.members = self.words.mapInArrow(_members(width), "id bigint, node bigint")
+        self.members = member_table(self.words, width)
 
     def sets(self, wanted: np.ndarray | None = None) -> DataFrame:
         """``node, n, parts, grams``: size, counts per range of the order, and 32-bit hashes of each set."""
-        return self.words.select("words").mapInArrow(_node_rows(self.width, wanted), "node bigint, n int, parts binary, grams array<int>")
+        return node_table(self.words, self.width, wanted)
 
     def candidates(self) -> DataFrame:
         """``a, b``: nodes that agree on a fragment, a < b."""
         hot = hot_shingles(self.words, self.width, self.hot_share)
-        asked = F.lit(True) if self.queries is None else self.queries
-        keys = self.words.select("words", asked.alias("asked")).mapInArrow(_keys(self.width, hot, self.runs), "key bigint, node bigint, asked boolean")
+        keys = key_table(self.words, self.width, hot, self.runs, self.queries)
         if self.queries is None:
             keys = keys.select("key", "node").repartition("key").groupBy("key", "node").agg(F.lit(1).alias("one"))
             pairs = keys.select("key", F.col("node").alias("a")).join(keys.select("key", F.col("node").alias("b")), "key").where("a < b")
@@ -143,24 +180,7 @@ class NearDuplicates:
 
     def node_pairs(self) -> DataFrame:
         """``a, b, similarity`` of the different sets that are similar enough."""
-        t = self.similarity
-        parts = self.sets().select("node", "n", "parts").dropDuplicates(["node"])
-        pairs = self.candidates()
-        pairs = pairs.join(parts.toDF("a", "n_a", "p_a"), "a").join(parts.toDF("b", "n_b", "p_b"), "b")
-
-        @F.pandas_udf("int")
-        def most_overlap(x: pd.Series, y: pd.Series) -> pd.Series:
-            p, q = (np.frombuffer(b"".join(s), np.uint8).reshape(-1, FRAGMENTS) for s in (x, y))
-            full = ((p == 255) & (q == 255)).any(axis=1)  # counts above 255 aren't known
-            return pd.Series(np.where(full, 1 << 30, np.minimum(p, q).sum(axis=1, dtype=np.int64)).astype(np.int32))
-
-        need = least_overlap(F.col("n_a"), F.col("n_b"), t)
-        near = materialise(pairs.where((F.least("n_a", "n_b") >= need)).where(most_overlap("p_a", "p_b") >= need).select("a", "b"), "near")
-        grams = self.sets(wanted_bits(near.select(F.explode(F.array("a", "b")).alias("node")))).select("node", "n", "grams").dropDuplicates(["node"])
-        both = near.join(grams.toDF("a", "n_a", "g_a"), "a").join(grams.toDF("b", "n_b", "g_b"), "b")
-        overlap = F.size(F.array_intersect("g_a", "g_b"))
-        both = both.select("a", "b", "n_a", "n_b", F.inline(F.array(F.struct(overlap.alias("o")))))
-        return both.where(F.col("o") >= least_overlap(F.col("n_a"), F.col("n_b"), t)).select("a", "b", (F.col("o") / (F.col("n_a") + F.col("n_b") - F.col("o"))).alias("similarity"))
+        return verified(self.candidates(), self.sets, self.similarity)
 
     def pairs(self) -> DataFrame:
         """``id_a, id_b, similarity``: all pairs of similar rows, copies included, id_a < id_b."""
