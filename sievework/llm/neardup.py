@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialise
-from .shingles import fragment_keys, hot_shingles, set_nodes, shingle_sets, word_hashes
+from .shingles import fragment_keys, set_nodes, shingle_sets, word_hashes
 
 #: Ranges of the global order over which partial overlaps are bounded.
 FRAGMENTS = 64
@@ -84,7 +84,7 @@ def _members(width: int):
     return members
 
 
-def _keys(width: int, hot: np.ndarray, runs: tuple):
+def _keys(width: int, runs: tuple):
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             doc, h = shingle_sets(b.column("words"), width)
@@ -94,7 +94,7 @@ def _keys(width: int, hot: np.ndarray, runs: tuple):
             for side in (asked, ~asked):
                 at = np.flatnonzero(side)
                 keep[at[np.unique(ident[at], return_index=True)[1]]] = True
-            d, k = fragment_keys(doc, h, np.where(keep, size, 1 << 31), hot, runs)
+            d, k = fragment_keys(doc, h, np.where(keep, size, 1 << 31), runs)
             yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int64)), pa.array((ident[d] & _NODE).astype(np.int64)), pa.array(asked[d])], ["key", "node", "asked"])
 
     return keys
@@ -108,9 +108,9 @@ def member_table(words: DataFrame, width: int) -> DataFrame:
     return words.mapInArrow(_members(width), "id bigint, node bigint")
 
 
-def key_table(words: DataFrame, width: int, hot: np.ndarray, runs: tuple = RUNS, asked: Column | None = None) -> DataFrame:
+def key_table(words: DataFrame, width: int, runs: tuple = RUNS, asked: Column | None = None) -> DataFrame:
     flag = F.lit(True) if asked is None else asked
-    return words.select("words", flag.alias("asked")).mapInArrow(_keys(width, hot, runs), "key bigint, node bigint, asked boolean")
+    return words.select("words", flag.alias("asked")).mapInArrow(_keys(width, runs), "key bigint, node bigint, asked boolean")
 
 
 def least_overlap(a: Column, b: Column, similarity: float) -> Column:
@@ -153,11 +153,11 @@ class NearDuplicates:
     only for pairs of which at least one row fulfils it.
     """
 
-    def __init__(self, words: DataFrame, similarity: float, width: int = 5, hot_share: float = 0.01, runs: tuple = RUNS, queries: Column | None = None):
+    def __init__(self, words: DataFrame, similarity: float, width: int = 5, runs: tuple = RUNS, queries: Column | None = None):
         self.queries = queries
         self.similarity, self.width = similarity, width
         self.words = materialise(words, "words")
-        self.runs, self.hot_share = runs, hot_share
+        self.runs = runs
         self.members = member_table(self.words, width)
 
     def sets(self, wanted: np.ndarray | None = None) -> DataFrame:
@@ -166,8 +166,7 @@ class NearDuplicates:
 
     def candidates(self) -> DataFrame:
         """``a, b``: nodes that agree on a fragment, a < b."""
-        hot = hot_shingles(self.words, self.width, self.hot_share)
-        keys = key_table(self.words, self.width, hot, self.runs, self.queries)
+        keys = key_table(self.words, self.width, self.runs, self.queries)
         if self.queries is None:
             keys = keys.select("key", "node").repartition("key").groupBy("key", "node").agg(F.lit(1).alias("one"))
             pairs = keys.select("key", F.col("node").alias("a")).join(keys.select("key", F.col("node").alias("b")), "key").where("a < b")

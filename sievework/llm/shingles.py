@@ -6,8 +6,6 @@ vectorised numpy over whole Arrow batches.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -15,7 +13,6 @@ from pyspark.sql import functions as F
 
 _MASK40 = np.uint64((1 << 40) - 1)
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
-HOT_BITS = 20
 
 
 def word_array(c: Column) -> Column:
@@ -70,61 +67,22 @@ def set_nodes(doc: np.ndarray, h: np.ndarray, rows: int) -> tuple[np.ndarray, np
     return mixed(total[ends] - total[ends - size]), size
 
 
-def hot_shingles(words: DataFrame, width: int, share: float, least: int = 50, flush: int = 3_000_000) -> np.ndarray:
-    """A bitmap over the low bits of shingles that at least ``share`` of the rows, and ``least`` of them, hold.
-
-    Each chunk of rows reports the shingles of at least a quarter of that share
-    of its rows, so the sums miss less than a quarter of it: every shingle of the
-    share is found, none below three quarters of it. The number of reported
-    shingles is bounded by the mean set size over the share, the bitmap is fixed.
-    """
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, rows = [], 0
-
-        def report() -> pa.RecordBatch:
-            h, n = np.unique(np.concatenate(held), return_counts=True) if held else (np.empty(0, np.uint64), np.empty(0, np.int64))
-            keep = n >= max(1, share / 4 * rows)
-            return pa.RecordBatch.from_arrays([pa.array(np.append(h[keep].astype(np.int64), -1)), pa.array(np.append(n[keep], rows).astype(np.int64))], ["h", "n"])
-
-        for b in batches:
-            if b.num_rows:
-                held.append(shingle_sets(b.column("words"), width)[1])
-                rows += b.num_rows
-            if sum(map(len, held)) > flush:
-                yield report()
-                held, rows = [], 0
-        yield report()
-
-    counts = words.select("words").mapInArrow(count, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
-    total = counts.where("h = -1").agg(F.sum("n")).first()[0] or 0
-    bits = np.zeros(1 << HOT_BITS, dtype=bool)
-    if total:
-        hot = counts.where(F.col("h") >= 0).where(F.col("n") >= max(least, 0.75 * share * total)).select((F.col("h").bitwiseAND((1 << HOT_BITS) - 1)).alias("b")).distinct()
-        bits[[r.b for r in hot.collect()]] = True
-    return bits
-
-
-def fragment_keys(doc: np.ndarray, h: np.ndarray, size: np.ndarray, hot: np.ndarray, runs: tuple[tuple[int, int], ...]) -> tuple[np.ndarray, np.ndarray]:
+def fragment_keys(doc: np.ndarray, h: np.ndarray, size: np.ndarray, runs: tuple[tuple[int, int], ...]) -> tuple[np.ndarray, np.ndarray]:
     """``doc, key``: runs of consecutive shingles of the global order, which two similar sets share.
 
     ``runs``: (length, largest set size that uses it). The order is that of the
-    hashes, the same for all sets. A run of hot shingles only says little; of
-    those one in eight serves.
+    hashes, the same for all sets. Every run serves, however many sets hold it:
+    in a large family of edited copies all shared runs are common.
     """
     docs, keys = [], []
-    cold = ~hot[h & np.uint64((1 << HOT_BITS) - 1)]
     for length, most in runs:
         if len(h) < length:
             continue
         n = len(h) - length + 1
         ok = (doc[:n] == doc[length - 1 :]) & (size[doc[:n]] <= most)
         key = np.full(n, length, dtype=np.uint64)
-        some = np.zeros(n, dtype=bool)
         for k in range(length):
             key = mixed(key * _M1 + h[k : k + n])
-            some |= cold[k : k + n]
-        ok &= some | (key >> np.uint64(61) == 0)
         docs.append(doc[:n][ok])
         keys.append(key[ok] & _MASK40)
     return (np.concatenate(docs), np.concatenate(keys)) if docs else (np.empty(0, np.int64), np.empty(0, np.uint64))
