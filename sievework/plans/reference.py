@@ -289,7 +289,7 @@ def page_stops(t) -> DataFrame:
 def _dedupe(t) -> tuple[DataFrame, DataFrame]:
     key = F.concat_ws("::", "source", F.upper(F.trim("external_id")))
     exact = {"EXTERNAL_ID": F.when(F.col("external_id").isNotNull(), key), "URL": fn.normalize_url(F.col("url")), "FINGERPRINT": F.lower(F.trim("fingerprint"))}
-    return greedy.greedy_dedupe(t("jobs"), "id", exact, [fn.normalize_company(F.col("company")), fn.normalize_key(F.col("location"))], fn.normalize_title(F.col("title")), 0.9, _rich(), "first_seen_at")
+    return greedy.greedy_dedupe(t("jobs"), "id", exact, [fn.normalize_company(F.col("company")), fn.normalize_key(F.col("location"))], fn.normalize_title(F.col("title")), 0.9, _rich(), "first_seen_at", occupants=True)
 
 
 @query(None)
