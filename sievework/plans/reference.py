@@ -257,6 +257,13 @@ def insert_absent(t) -> DataFrame:
     return keyed.insert_absent(t("jobs").where("id < 20"), t("incoming_jobs").where("source is not null"), ["source"]).select("source")
 
 
+@query("""SELECT DISTINCT source, upper(trim(external_id)) AS k FROM incoming_jobs i WHERE source IS NOT NULL AND external_id IS NOT NULL
+ AND NOT EXISTS (SELECT 1 FROM jobs j WHERE j.source = i.source AND upper(trim(j.external_id)) = upper(trim(i.external_id)))""")
+def absent_jobs(t) -> DataFrame:
+    keyed_rows = lambda name: t(name).select("source", F.upper(F.trim("external_id")).alias("k")).where("source is not null and k is not null")
+    return keyed.insert_absent(keyed_rows("jobs"), keyed_rows("incoming_jobs"), ["source", "k"])
+
+
 @query("SELECT hit, count(*) AS n FROM (SELECT EXISTS (SELECT 1 FROM job_evaluations e WHERE lower(trim(e.content_hash)) = lower(trim(j.content_hash)) AND e.local_model = 'desk-8b') AS hit FROM jobs j) GROUP BY hit")
 def cache_hits(t) -> DataFrame:
     key = F.lower(F.trim("content_hash")).alias("h")
