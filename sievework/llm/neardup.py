@@ -1,15 +1,16 @@
 """Near-duplicate records with small edits: a self join on Jaccard similarity.
 
 Vertical partitioning: the global order of n-grams (that of their hashes) is cut
-into fragments. Candidates are pairs of sets that agree on a whole fragment of
-consecutive n-grams; the overlap of a candidate pair is the sum of its partial
-overlaps over ``FRAGMENTS`` ranges of the order, first bounded by the sizes of
-these parts alone, then counted exactly.
+into fragments (see :func:`shingles.fragment_keys`). Two sets that hold the same
+fragment have a partial overlap; these are counted separately and summed per
+pair, and pairs with a sum of two or more are candidates. Their overlap is then
+bounded by the sum of the least counts over ``RANGES`` ranges of the order, and
+at last counted exactly, each of ``SEGMENTS`` segments on its own, and summed.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -18,15 +19,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialise
-from .shingles import fragment_keys, set_nodes, shingle_sets, word_hashes
+from .shingles import KEY_MASK, PER_SET, SLOT_BITS, fragment_keys, information, packed, set_identity, shingle_sets, slots, unpacked, word_hashes
 
-#: Ranges of the global order over which partial overlaps are bounded.
-FRAGMENTS = 64
-#: (length of a run, largest set that uses it): shorter runs help small sets.
-RUNS = ((5, 1 << 30), (4, 100), (3, 72), (2, 36), (1, 20))
+#: Ranges of the global order over which overlaps are bounded, and segments in which they are counted.
+RANGES, SEGMENTS = 64, 4
+#: A fragment held by more sets is joined in blocks of SALTS x SALTS instead of in one task.
+HOT, SALTS = 512, 16
 #: Bits of the map of nodes whose n-grams are wanted.
 NODE_BITS = 22
-_NODE = np.uint64((1 << 40) - 1)
+#: Fragments that a worker gathers before it hands them on, and pairs in a batch of its output.
+GATHER, BATCH = 1 << 21, 1 << 20
 
 
 def wanted_bits(nodes: DataFrame) -> np.ndarray:
@@ -45,141 +47,248 @@ def wanted_bits(nodes: DataFrame) -> np.ndarray:
     return out.ravel()
 
 
-def _node_rows(width: int, wanted: np.ndarray | None = None):
-    """One row per distinct set of a partition's batches: node, size, parts, grams; wanted, if given, is a bitmap of nodes."""
+def set_table(words: DataFrame, width: int) -> DataFrame:
+    """``id, x, y, n, parts``: identity (128 bits), size and counts per range of each row's set; rows without any n-gram are left out."""
 
-    def nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             doc, h = shingle_sets(b.column("words"), width)
-            ident, size = set_nodes(doc, h, b.num_rows)
-            first = np.sort(np.unique(ident, return_index=True)[1]) if b.num_rows else np.empty(0, np.int64)
-            first = first[size[first] > 0]
-            if wanted is not None:
-                first = first[wanted[(ident[first] & np.uint64((1 << NODE_BITS) - 1)).astype(np.int64)]]
-            cell = np.bincount(doc * FRAGMENTS + (h >> np.uint64(34)).astype(np.int64), minlength=b.num_rows * FRAGMENTS).reshape(b.num_rows, FRAGMENTS)
-            parts = np.minimum(cell, 255).astype(np.uint8)
-            keep = np.zeros(b.num_rows, bool)
-            keep[first] = True
-            grams = (h & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)[keep[doc]]
-            offsets = np.concatenate([[0], np.cumsum(size[first])]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array((ident[first] & _NODE).astype(np.int64)), pa.array(size[first].astype(np.int32)),
-                    pa.array([parts[k].tobytes() for k in first], pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(grams)),
-                ],
-                ["node", "n", "parts", "grams"],
-            )
-
-    return nodes
-
-
-def _members(width: int):
-    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            x, y, size = set_identity(doc, h, b.num_rows)
+            cell = np.bincount(doc * RANGES + (h >> np.uint64(34)).astype(np.int64), minlength=b.num_rows * RANGES).reshape(b.num_rows, RANGES)
+            parts, ok = np.minimum(cell, 255).astype(np.uint8), np.flatnonzero(size)
+            columns = [b.column("id").take(pa.array(ok)), pa.array(x[ok].astype(np.int64)), pa.array(y[ok].astype(np.int64)), pa.array(size[ok].astype(np.int32)), pa.array([parts[k].tobytes() for k in ok], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "x", "y", "n", "parts"])
+
+    return words.select("id", "words").mapInArrow(sets, "id bigint, x bigint, y bigint, n int, parts binary")
+
+
+def segment_table(words: DataFrame, width: int, wanted: np.ndarray | None = None) -> DataFrame:
+    """``node, f, grams``: the n-grams of each set by segment of the global order; wanted, if given, is a bitmap of nodes."""
+
+    def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            if wanted is not None:
+                b = b.filter(pa.array(wanted[b.column("id").to_numpy() & ((1 << NODE_BITS) - 1)]))
             doc, h = shingle_sets(b.column("words"), width)
-            ident, size = set_nodes(doc, h, b.num_rows)
-            ok = size > 0
-            yield pa.RecordBatch.from_arrays([b.column("id").filter(pa.array(ok)), pa.array((ident[ok] & _NODE).astype(np.int64))], ["id", "node"])
+            cell = doc * SEGMENTS + (h >> np.uint64(38)).astype(np.int64)
+            at, count = np.unique(cell, return_counts=True)
+            offsets = np.concatenate([[0], np.cumsum(count)]).astype(np.int32)
+            grams = pa.ListArray.from_arrays(pa.array(offsets), pa.array((h & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)))
+            yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(at // SEGMENTS)), pa.array((at % SEGMENTS).astype(np.int8)), grams], ["node", "f", "grams"])
 
-    return members
+    return words.select("id", "words").mapInArrow(segments, "node bigint, f tinyint, grams array<int>")
 
 
-def _keys(width: int, runs: tuple):
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def shingle_information(words: DataFrame, width: int, sets: int) -> np.ndarray:
+    """The information of each slot of n-grams (see :func:`shingles.information`), counted over all sets.
+
+    A partition sends one table of fixed size in 64 pieces; pieces are summed by
+    groups of 256 partitions, then at last, so no task gathers more.
+    """
+    piece = (1 << SLOT_BITS) // 64
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        total = np.zeros(1 << SLOT_BITS, np.int64)
         for b in batches:
-            doc, h = shingle_sets(b.column("words"), width)
-            ident, size = set_nodes(doc, h, b.num_rows)
-            asked = b.column("asked").to_numpy(zero_copy_only=False).astype(bool)
-            keep = np.zeros(b.num_rows, bool)
-            for side in (asked, ~asked):
-                at = np.flatnonzero(side)
-                keep[at[np.unique(ident[at], return_index=True)[1]]] = True
-            d, k = fragment_keys(doc, h, np.where(keep, size, 1 << 31), runs)
-            yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int64)), pa.array((ident[d] & _NODE).astype(np.int64)), pa.array(asked[d])], ["key", "node", "asked"])
+            total += np.bincount(slots(shingle_sets(b.column("words"), width)[1]), minlength=1 << SLOT_BITS)
+        rows = np.arange(64, dtype=np.int32)
+        group = np.full(64, TaskContext.get().partitionId() // 256, np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(group), pa.array([total[k * piece : (k + 1) * piece].tobytes() for k in rows], pa.binary())], ["piece", "part", "n"])
 
-    return keys
+    def summed(pdf: pd.DataFrame) -> pd.DataFrame:
+        total = np.sum([np.frombuffer(x, np.int64) for x in pdf["n"]], axis=0)
+        return pdf.head(1).assign(n=[total.tobytes()])
+
+    tables = words.select("words").mapInArrow(count, "piece int, part int, n binary")
+    for keys in (["piece", "part"], ["piece"]):
+        tables = tables.groupBy(*keys).applyInPandas(summed, "piece int, part int, n binary")
+    total = np.zeros((64, piece), np.int64)
+    for r in tables.collect():  # 64 rows of fixed size
+        total[r.piece] = np.frombuffer(r.n, np.int64)
+    return information(total.ravel(), sets)
 
 
-def node_table(words: DataFrame, width: int, wanted: np.ndarray | None = None) -> DataFrame:
-    return words.select("words").mapInArrow(_node_rows(width, wanted), "node bigint, n int, parts binary, grams array<int>")
+def key_table(words: DataFrame, width: int, weight: np.ndarray, sets: int, similarity: float) -> DataFrame:
+    """``key, node, count``: the fragments of each set as rows, for sets that are kept."""
 
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            doc, h = shingle_sets(b.column("words"), width)
+            d, k, count = fragment_keys(doc, h, np.bincount(doc, minlength=b.num_rows), weight, sets, similarity)
+            yield pa.RecordBatch.from_arrays([pa.array((k & KEY_MASK).astype(np.int64)), b.column("id").take(pa.array(d)), pa.array(count)], ["key", "node", "count"])
+
+    return words.select("id", "words").mapInArrow(keys, "key bigint, node bigint, count tinyint")
+
+
+def _packed_keys(width: int, weight: np.ndarray, sets: int, similarity: float, buckets: int):
+    """Rows of a bucket of keys each: sorted keys as packed differences, nodes with their flags, all of a worker's batches together."""
+
+    def flush(held: list) -> Iterator[pa.RecordBatch]:
+        key, value = (np.concatenate(x) for x in zip(*held))
+        order = np.argsort(key, kind="stable")
+        key, value = key[order], value[order]
+        bucket = (key >> np.uint64(16)) * np.uint64(buckets) >> np.uint64(32)
+        at = np.searchsorted(bucket, np.arange(buckets + 1).astype(np.uint64))
+        rows = []
+        for k in np.flatnonzero(np.diff(at)):
+            part, nodes = key[at[k] : at[k + 1]], value[at[k] : at[k + 1]]
+            base = nodes.min()
+            steps = np.concatenate([part[:1] * np.uint64(0), np.diff(part)])
+            rows.append((int(k), int(part[0]), packed(steps), int(base), packed((nodes - base).astype(np.uint64))))
+        names = ["bucket", "first", "steps", "base", "nodes"]
+        kinds = [pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.binary()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
 
-def member_table(words: DataFrame, width: int) -> DataFrame:
-    return words.mapInArrow(_members(width), "id bigint, node bigint")
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for b in batches:
+            doc, h = shingle_sets(b.column("words"), width)
+            d, k, count = fragment_keys(doc, h, np.bincount(doc, minlength=b.num_rows), weight, sets, similarity)
+            # node, whether it is asked for, whether the fragment counts two
+            flags = b.column("asked").to_numpy(zero_copy_only=False).astype(np.int64)[d] * 2 + (count - 1)
+            held.append((k & KEY_MASK, b.column("id").to_numpy()[d] * 4 + flags))
+            n += len(d)
+            if n >= GATHER:
+                yield from flush(held)
+                held, n = [], 0
+        if n:
+            yield from flush(held)
 
+    return keys
 
-def key_table(words: DataFrame, width: int, runs: tuple = RUNS, asked: Column | None = None) -> DataFrame:
-    flag = F.lit(True) if asked is None else asked
-    return words.select("words", flag.alias("asked")).mapInArrow(_keys(width, runs), "key bigint, node bigint, asked boolean")
+
+def _matched(split_hot: bool):
+    """Partial overlaps ``a, b, n, key`` of a bucket's pairs; of a fragment in more than HOT sets a mark, or with ``split_hot`` its sets (b null)."""
+
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, values = [], []
+        for b in batches:
+            for first, steps, base, nodes in zip(*(b.column(c).to_pylist() for c in ("first", "steps", "base", "nodes"))):
+                keys.append(np.cumsum(unpacked(steps)) + np.uint64(first))
+                values.append(unpacked(nodes).astype(np.int64) + base)
+        if not keys:
+            return
+        key, value = np.concatenate(keys), np.concatenate(values)
+        order = np.argsort(key, kind="stable")
+        key, value = key[order], value[order]
+        starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        size = np.diff(np.concatenate([starts, [len(key)]]))
+        ids, code = np.unique(value >> 2, return_inverse=True)
+        asked, double = (value & 2) > 0, (value & 1) > 0
+        before = np.arange(len(key)) - np.repeat(starts, size)
+        hot = np.repeat(size > HOT, size)
+        if hot.any():
+            if split_hot:
+                rows = [pa.array(value[hot] >> 2), pa.nulls(int(hot.sum()), pa.int64()), pa.array(1 + double[hot].astype(np.int32) + 2 * asked[hot]), pa.array(key[hot].astype(np.int64))]
+            else:
+                rows = [pa.array([-1], pa.int64()), pa.array([-1], pa.int64()), pa.array([2], pa.int32()), pa.array([0], pa.int64())]
+            yield pa.RecordBatch.from_arrays(rows, ["a", "b", "n", "key"])
+        left = np.flatnonzero((before > 0) & ~hot)
+        ends = np.cumsum(before[left])
+        at = 0
+        while at < len(left):
+            upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + BATCH, side="right")))
+            part = left[at:upto]
+            n = before[part]
+            i = np.repeat(part, n)
+            j = i - 1 - (np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n))
+            ok = (asked[i] | asked[j]) & (code[i] != code[j])
+            i, j = i[ok], j[ok]
+            pair = np.minimum(code[i], code[j]).astype(np.int64) << 32 | np.maximum(code[i], code[j])
+            once, where = np.unique(pair, return_inverse=True)
+            total = np.bincount(where, weights=1 + (double[i] & double[j]), minlength=len(once)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[once >> 32]), pa.array(ids[once & 0xFFFFFFFF]), pa.array(total), pa.nulls(len(once), pa.int64())], ["a", "b", "n", "key"])
+            at = upto
+
+    return match
 
 
 def least_overlap(a: Column, b: Column, similarity: float) -> Column:
     """The overlap that sets of these sizes need for the similarity."""
-    return F.ceil(similarity / (1 + similarity) * (a + b) - F.lit(1e-9))
+    return F.ceil(similarity / (1 + similarity) * (a + b) - F.lit(1e-9)).cast("int")
 
 
-def verified(pairs: DataFrame, sets: Callable[..., DataFrame], similarity: float) -> DataFrame:
-    """``a, b, similarity`` of the candidate pairs that are similar enough.
-
-    ``sets(wanted)`` gives node, n, parts, grams of all sets, or of those that a
-    bitmap of nodes holds. Counts per range of the order prune first; only what
-    is left is counted exactly.
-    """
-    parts = sets().select("node", "n", "parts").dropDuplicates(["node"])
-    pairs = pairs.join(parts.toDF("a", "n_a", "p_a"), "a").join(parts.toDF("b", "n_b", "p_b"), "b")
+def bounded(pairs: DataFrame, sets_a: DataFrame, sets_b: DataFrame, similarity: float) -> DataFrame:
+    """``a, b, need, total`` of the pairs that sizes and counts per range (node, n, parts) don't rule out."""
 
     @F.pandas_udf("int")
     def most_overlap(x: pd.Series, y: pd.Series) -> pd.Series:
-        p, q = (np.frombuffer(b"".join(s), np.uint8).reshape(-1, FRAGMENTS) for s in (x, y))
+        p, q = (np.frombuffer(b"".join(s), np.uint8).reshape(-1, RANGES) for s in (x, y))
         full = ((p == 255) & (q == 255)).any(axis=1)  # counts above 255 aren't known
         return pd.Series(np.where(full, 1 << 30, np.minimum(p, q).sum(axis=1, dtype=np.int64)).astype(np.int32))
 
-    need = least_overlap(F.col("n_a"), F.col("n_b"), similarity)
-    near = materialise(pairs.where(F.least("n_a", "n_b") >= need).where(most_overlap("p_a", "p_b") >= need).select("a", "b"), "near")
-    grams = sets(wanted_bits(near.select(F.explode(F.array("a", "b")).alias("node")))).select("node", "n", "grams").dropDuplicates(["node"])
-    both = near.join(grams.toDF("a", "n_a", "g_a"), "a").join(grams.toDF("b", "n_b", "g_b"), "b")
-    overlap = F.size(F.array_intersect("g_a", "g_b"))
-    both = both.select("a", "b", "n_a", "n_b", F.inline(F.array(F.struct(overlap.alias("o")))))
-    return both.where(F.col("o") >= least_overlap(F.col("n_a"), F.col("n_b"), similarity)).select("a", "b", (F.col("o") / (F.col("n_a") + F.col("n_b") - F.col("o"))).alias("similarity"))
+    pairs = pairs.join(sets_a.toDF("a", "n_a", "p_a"), "a").join(sets_b.toDF("b", "n_b", "p_b"), "b")
+    pairs = pairs.withColumn("need", least_overlap(F.col("n_a"), F.col("n_b"), similarity)).where(F.least("n_a", "n_b") >= F.col("need"))
+    return pairs.where(most_overlap("p_a", "p_b") >= F.col("need")).select("a", "b", "need", (F.col("n_a") + F.col("n_b")).alias("total"))
+
+
+def verified(near: DataFrame, segments_a: DataFrame, segments_b: DataFrame) -> DataFrame:
+    """``a, b, similarity`` of the pairs (a, b, need, total) that are similar enough: overlaps are counted segment by segment and summed."""
+    both = near.join(segments_a.toDF("a", "f", "g_a"), "a").join(segments_b.toDF("b", "f", "g_b"), ["b", "f"])
+    summed = both.select("a", "b", "need", "total", F.size(F.array_intersect("g_a", "g_b")).alias("o")).groupBy("a", "b", "need", "total").agg(F.sum("o").alias("o"))
+    return summed.where("o >= need").select("a", "b", (F.col("o") / (F.col("total") - F.col("o"))).alias("similarity"))
 
 
 class NearDuplicates:
     """Sets of word shingles of texts, and the pairs of them that are similar.
 
     ``words``: id, words (see :func:`word_hashes`); ids are unique. Rows with equal
-    sets are one node, so a group of copies of any size costs one node a batch.
-    Nodes are joined by 40 bits of the set's hash; sets that share these by chance
-    are told apart when overlaps are counted. ``queries``, a condition on id, asks
-    only for pairs of which at least one row fulfils it.
+    sets (by 128 bits) are one node, named by their smallest id, so a group of
+    copies of any size costs one node. ``queries``, a condition on id, asks only
+    for pairs of which at least one row fulfils it.
     """
 
-    def __init__(self, words: DataFrame, similarity: float, width: int = 5, runs: tuple = RUNS, queries: Column | None = None):
-        self.queries = queries
+    def __init__(self, words: DataFrame, similarity: float, width: int = 5, queries: Column | None = None):
         self.similarity, self.width = similarity, width
-        self.words = materialise(words, "words")
-        self.runs = runs
-        self.members = member_table(self.words, width)
-
-    def sets(self, wanted: np.ndarray | None = None) -> DataFrame:
-        """``node, n, parts, grams``: size, counts per range of the order, and 32-bit hashes of each set."""
-        return node_table(self.words, self.width, wanted)
+        words = materialise(words, "words")
+        self.sets = materialise(set_table(words, width), "sets")
+        once = self.sets.groupBy("x", "y").agg(F.min("id").alias("node"), F.count("*").alias("k")).where("k > 1").select("x", "y", "node")
+        #: id, node of the rows whose set a smaller id has
+        self.copies = materialise(self.sets.select("id", "x", "y").join(once, ["x", "y"]).where("id != node").select("id", "node"), "copies")
+        asked = F.lit(True) if queries is None else queries
+        unique = words.join(self.copies.select("id"), "id", "left_anti").withColumn("asked", asked)
+        if queries is not None:  # a set that was asked for by a copy only
+            by_copy = self.copies.where(asked).select(F.col("node").alias("id")).distinct().withColumn("by_copy", F.lit(True))
+            unique = unique.join(by_copy, "id", "left").withColumn("asked", F.col("asked") | F.col("by_copy").isNotNull()).drop("by_copy")
+        #: id, words, asked of one row of each set
+        self.unique = unique
+        self.n_sets = self.sets.count() - self.copies.count()
+
+    @property
+    def members(self) -> DataFrame:
+        """``id, node`` of all rows that have a set."""
+        return self.sets.select("id").join(self.copies, "id", "left").select("id", F.coalesce("node", "id").alias("node"))
+
+    def _summed(self, weight: np.ndarray, split_hot: bool) -> DataFrame:
+        spark = self.unique.sparkSession
+        buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-self.n_sets * PER_SET // GATHER))
+        keys = self.unique.mapInArrow(_packed_keys(self.width, weight, self.n_sets, self.similarity, buckets), "bucket int, first bigint, steps binary, base bigint, nodes binary")
+        found = keys.repartitionById(buckets, "bucket").mapInArrow(_matched(split_hot), "a bigint, b bigint, n int, key bigint")
+        hits = found.where("b is not null").select("a", "b", "n")
+        if split_hot:
+            held = found.where("b is null").select("key", F.col("a").alias("node"), (F.col("n") > 2).alias("asked"), ((F.col("n") - 1) % 2).alias("double"), F.pmod(F.hash("a"), F.lit(SALTS)).alias("own"))
+            every = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+            left = held.select("key", F.col("node").alias("a"), F.col("asked").alias("qa"), F.col("double").alias("da"), F.col("own").alias("l"), every.alias("r"))
+            right = held.select("key", F.col("node").alias("b"), F.col("asked").alias("qb"), F.col("double").alias("db"), every.alias("l"), F.col("own").alias("r"))
+            hits = hits.union(left.join(right, ["key", "l", "r"]).where("a < b and (qa or qb)").select("a", "b", (1 + F.col("da") * F.col("db")).cast("int")))
+        return hits.groupBy("a", "b").agg(F.sum("n").alias("n")).where("n >= 2").select("a", "b")
 
     def candidates(self) -> DataFrame:
-        """``a, b``: nodes that agree on a fragment, a < b."""
-        keys = key_table(self.words, self.width, self.runs, self.queries)
-        if self.queries is None:
-            keys = keys.select("key", "node").repartition("key").groupBy("key", "node").agg(F.lit(1).alias("one"))
-            pairs = keys.select("key", F.col("node").alias("a")).join(keys.select("key", F.col("node").alias("b")), "key").where("a < b")
-            return pairs.select("a", "b").distinct()
-        keys = keys.repartition("key").groupBy("key", "node").agg(F.max("asked").alias("asked"))
-        # both sides need all three columns, else they would be spread twice
-        held = keys.where(F.col("asked").isNotNull())
-        pairs = keys.where("asked").select("key", F.col("node").alias("a")).join(held.select("key", F.col("node").alias("b")), "key").where("a != b")
-        return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        """``a, b``: nodes whose partial overlaps come to two fragments or more, a < b."""
+        weight = shingle_information(self.unique, self.width, self.n_sets)
+        found = materialise(self._summed(weight, False), "candidates")
+        if found.where("a < 0").limit(1).count():  # some fragment is in very many sets
+            found = materialise(self._summed(weight, True), "candidates")
+        return found
 
     def node_pairs(self) -> DataFrame:
         """``a, b, similarity`` of the different sets that are similar enough."""
-        return verified(self.candidates(), self.sets, self.similarity)
+        sets = self.sets.select("id", "n", "parts")
+        near = materialise(bounded(self.candidates(), sets, sets, self.similarity), "near")
+        segments = segment_table(self.unique, self.width, wanted_bits(near.select(F.explode(F.array("a", "b")).alias("node"))))
+        return verified(near, segments, segments)
 
     def pairs(self) -> DataFrame:
         """``id_a, id_b, similarity``: all pairs of similar rows, copies included, id_a < id_b."""
@@ -190,13 +299,53 @@ class NearDuplicates:
         copies = l.join(m.toDF("r", "a"), "a").where("l < r").select("l", "r", F.lit(1.0).alias("similarity"))
         return across.union(copies).select(F.least("l", "r").alias("id_a"), F.greatest("l", "r").alias("id_b"), "similarity")
 
+    def groups(self) -> DataFrame:
+        """``id, group_id, n_links``: each row's class and the number of rows that it is similar to (classes follow links of links)."""
+        m = materialise(self.members, "members")
+        nodes = materialise(self.node_pairs().select("a", "b"), "pairs")
+        held = m.groupBy("node").agg(F.count("*").alias("rows"))
+        both = nodes.union(nodes.select("b", "a")).toDF("node", "beside")
+        links = both.join(held.toDF("beside", "rows"), "beside").groupBy("node").agg(F.sum("rows").alias("links"))
+        label = components(nodes)
+        out = m.join(held, "node").join(links, "node", "left").join(label, "node", "left")
+        return out.select("id", F.coalesce("label", "node").alias("group_id"), (F.coalesce("links", F.lit(0)) + F.col("rows") - 1).alias("n_links"))
 
-def near_duplicate_pairs(rows: DataFrame, id_col: str, texts: list[str], similarity: float = 0.8, width: int = 5, least_words: int = 0) -> DataFrame:
-    """``id_a, id_b, similarity``: pairs of rows whose sets of word runs are similar.
+
+def components(edges: DataFrame) -> DataFrame:
+    """``node, label``: the least node of the component of each node that has an edge (a, b).
+
+    Each round gives nodes the least label beside them and then that label's own
+    label, so the number of rounds is about the logarithm of the longest chain.
+    """
+    both = materialise(edges.union(edges.select("b", "a")).toDF("node", "beside").distinct(), "edges")
+    label = materialise(both.groupBy("node").agg(F.least(F.min("beside"), F.col("node")).alias("label")), "labels")
+    while True:
+        least = both.join(label.toDF("beside", "other"), "beside").groupBy("node").agg(F.min("other").alias("other"))
+        nearer = label.join(least, "node").select("node", F.least("label", "other").alias("label"), F.col("label").alias("old"))
+        jumped = nearer.join(label.toDF("label", "up"), "label", "left").select("node", F.least("label", F.coalesce("up", "label")).alias("label"), "old")
+        told = materialise(jumped, "labels")
+        if not told.where("label != old").limit(1).count():
+            return told.select("node", "label")
+        label = told.select("node", "label")
+
+
+def near_duplicates(rows: DataFrame, id_col: str, texts: list[str], similarity: float = 0.8, width: int = 5, least_words: int = 0) -> NearDuplicates:
+    """Near-duplicates of rows by their sets of word runs.
 
     - Words of ``texts`` in that order; only rows whose last text has at least
       ``least_words`` words take part. Null texts have no words.
     - Rows with fewer than ``width`` words in all have no run and are in no pair.
-    - Ids must be unique and not null; an empty table gives an empty result.
+    - Ids must be unique; rows with a null id are left out; an empty table gives an
+      empty result.
     """
-    return NearDuplicates(word_hashes(rows.where(F.col(id_col).isNotNull()), id_col, texts, least_words), similarity, width).pairs()
+    return NearDuplicates(word_hashes(rows.where(F.col(id_col).isNotNull()), id_col, texts, least_words), similarity, width)
+
+
+def near_duplicate_pairs(rows: DataFrame, id_col: str, texts: list[str], similarity: float = 0.8, width: int = 5, least_words: int = 0) -> DataFrame:
+    """``id_a, id_b, similarity``: pairs of rows whose sets of word runs are similar (see :func:`near_duplicates`)."""
+    return near_duplicates(rows, id_col, texts, similarity, width, least_words).pairs()
+
+
+def near_duplicate_groups(rows: DataFrame, id_col: str, texts: list[str], similarity: float = 0.8, width: int = 5, least_words: int = 0) -> DataFrame:
+    """``id, group_id, n_links``: the class of each row and the number of its links (see :func:`near_duplicates`)."""
+    return near_duplicates(rows, id_col, texts, similarity, width, least_words).groups()

@@ -13,7 +13,7 @@ from .incremental import known_rows
 from .leaks import decontaminated, leaks
 from .mixing import mixture
 from .names import name_variants, variant_pairs
-from .neardup import near_duplicate_pairs
+from .neardup import near_duplicate_groups, near_duplicate_pairs
 from .reading import reading_levels
 
 
@@ -38,6 +38,11 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_pairs(table(spark, sf_dir, "jobs"), "id", ["title", "company", "description"], similarity=0.6, width=3, least_words=20).select("id_a", "id_b")
 
 
+def p3_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of near-duplicates of each posting and the number of its links."""
+    return near_duplicate_groups(table(spark, sf_dir, "jobs"), "id", ["title", "company", "description"], similarity=0.6, width=3, least_words=20)
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Incoming postings that jobs or earlier accepted postings already hold."""
     jobs, new = table(spark, sf_dir, "jobs"), table(spark, sf_dir, "incoming_jobs")
@@ -98,7 +103,7 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mixture(spark, sf_dir)[1]
 
 
-QUERIES = {"p6_found": p6_found, "p6_fused": p6_fused, "p6_sources": p6_sources, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p8_found": p8_found, "p8_cleaned": p8_cleaned, "p10_found": p10_found, "p7_found": p7_found, "p3_found": p3_found, "p5_found": p5_found, "p4_found": p4_found, "p4_employers": p4_employers}
+QUERIES = {"p6_found": p6_found, "p6_fused": p6_fused, "p6_sources": p6_sources, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p8_found": p8_found, "p8_cleaned": p8_cleaned, "p10_found": p10_found, "p7_found": p7_found, "p3_found": p3_found, "p3_groups": p3_groups, "p5_found": p5_found, "p4_found": p4_found, "p4_employers": p4_employers}
 
 
 

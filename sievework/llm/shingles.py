@@ -1,4 +1,4 @@
-"""Words, word shingles and candidate fragments of texts.
+"""Words, word shingles and fragments of their global order.
 
 Texts become arrays of word hashes in the JVM; everything on shingles is
 vectorised numpy over whole Arrow batches.
@@ -6,11 +6,18 @@ vectorised numpy over whole Arrow batches.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Slots of the table of document frequencies (2**18), and steps of its information per nat.
+SLOT_BITS, STEPS = 18, 8
+#: Fragments of a set that are expected, most shingles of a fragment, largest set with a prefix of rare shingles.
+PER_SET, LONGEST, SMALL = 64, 6, 48
+KEY_MASK = np.uint64((1 << 48) - 1)
 _MASK40 = np.uint64((1 << 40) - 1)
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
@@ -59,30 +66,79 @@ def shingle_sets(words: pa.ListArray, width: int) -> tuple[np.ndarray, np.ndarra
     return (key >> np.uint64(40)).astype(np.int64), key & _MASK40
 
 
-def set_nodes(doc: np.ndarray, h: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit identity and the size of each row's set."""
+def set_identity(doc: np.ndarray, h: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A 128-bit identity, in two halves, and the size of each row's set."""
     size = np.bincount(doc, minlength=rows)
     ends = np.cumsum(size)
-    total = np.concatenate([[np.uint64(0)], np.cumsum(mixed(h * _M3 + _M1), dtype=np.uint64)])
-    return mixed(total[ends] - total[ends - size]), size
+    halves = []
+    for salt in (_M1, _M2):
+        total = np.concatenate([[np.uint64(0)], np.cumsum(mixed(mixed(h * _M3 + salt)), dtype=np.uint64)])
+        halves.append(mixed(total[ends] - total[ends - size] + salt * size.astype(np.uint64)))
+    return halves[0], halves[1], size
+
+
+def slots(h: np.ndarray) -> np.ndarray:
+    """The slot of each shingle in the table of document frequencies, which has a fixed size."""
+    return (mixed(h * _M3 + _M2) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
+
+def information(frequency: np.ndarray, sets: int) -> np.ndarray:
+    """``-ln(share of sets that hold it)`` of the shingles of each slot, in steps of 1 / STEPS."""
+    share = np.clip(frequency / max(1, sets), 1e-300, 1.0)
+    return np.minimum(255, np.rint(-np.log(share) * STEPS)).astype(np.uint8)
+
 
+def fragment_keys(doc: np.ndarray, h: np.ndarray, size: np.ndarray, weight: np.ndarray, sets: int, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``doc, key, count``: fragments of the global order of shingles, and how much each counts.
 
-def fragment_keys(doc: np.ndarray, h: np.ndarray, size: np.ndarray, runs: tuple[tuple[int, int], ...]) -> tuple[np.ndarray, np.ndarray]:
-    """``doc, key``: runs of consecutive shingles of the global order, which two similar sets share.
+    The order is that of the hashes, the same for all sets. It is cut at shingles
+    whose hash lies below a bound that halves as sets double, so that a set has
+    about ``PER_SET`` cuts whatever its size (all of its shingles if it has fewer),
+    and the cuts of a larger set are among those of a smaller one. A fragment
+    reaches from its cut until its shingles together are so rare that one of all
+    ``sets`` would hold them by chance: rare shingles make short fragments, and no
+    fragment has more than ``LONGEST`` shingles, so common ones still meet in
+    families of edited copies. Every fragment counts one.
 
-    ``runs``: (length, largest set size that uses it). The order is that of the
-    hashes, the same for all sets. Every run serves, however many sets hold it:
-    in a large family of edited copies all shared runs are common.
+    Sets of up to ``SMALL`` shingles, and larger ones that may be similar to such
+    a set, add their prefix of the order by rarity, which any similar pair of them
+    shares; it counts two.
     """
-    docs, keys = [], []
-    for length, most in runs:
-        if len(h) < length:
-            continue
-        n = len(h) - length + 1
-        ok = (doc[:n] == doc[length - 1 :]) & (size[doc[:n]] <= most)
-        key = np.full(n, length, dtype=np.uint64)
-        for k in range(length):
-            key = mixed(key * _M1 + h[k : k + n])
-        docs.append(doc[:n][ok])
-        keys.append(key[ok] & _MASK40)
-    return (np.concatenate(docs), np.concatenate(keys)) if docs else (np.empty(0, np.int64), np.empty(0, np.uint64))
+    least = np.rint(max(4.0, math.log(max(1, sets))) * STEPS)
+    w = np.clip(weight[slots(h)].astype(np.float64), least / LONGEST, least)
+    m = len(h)
+    at = np.flatnonzero((mixed(mixed(h + _M1)) >> np.uint64(11)).astype(np.float64) / 2.0**53 < PER_SET / np.maximum(size[doc], 1))
+    start, j = at, at
+    total, key = np.zeros(len(at)), np.full(len(at), 1, np.uint64)
+    docs, keys = [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
+    while len(start):
+        total = total + w[j]
+        key = mixed(key * _M1 + h[j])
+        full = total >= least - 1e-6
+        docs.append(doc[start[full]])
+        keys.append(key[full])
+        start, j, total, key = start[~full], j[~full] + 1, total[~full], key[~full]
+        inside = j < m
+        inside &= doc[np.minimum(j, m - 1)] == doc[start]
+        start, j, total, key = start[inside], j[inside], total[inside], key[inside]
+    d, k = np.concatenate(docs), np.concatenate(keys)
+    small = np.flatnonzero(size[doc] <= SMALL / similarity)
+    order = small[np.lexsort((h[small], -w[small], doc[small]))]
+    sd = doc[order]
+    rank = np.arange(len(sd)) - np.searchsorted(sd, sd)
+    head = order[rank <= size[sd] - np.ceil(similarity * size[sd] - 1e-9)]
+    return np.concatenate([d, doc[head]]), np.concatenate([k, mixed(h[head] * _M3)]) & KEY_MASK, np.concatenate([np.ones(len(d), np.int8), np.full(len(head), 2, np.int8)])
+
+
+def packed(values: np.ndarray) -> bytes:
+    """Numbers from 0 in as few bytes each as the largest needs."""
+    width = max(1, (int(values.max()).bit_length() + 7) // 8) if len(values) else 1
+    return bytes([width]) + np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    width = data[0]
+    part = np.frombuffer(data, np.uint8, offset=1).reshape(-1, width)
+    out = np.zeros((len(part), 8), np.uint8)
+    out[:, :width] = part
+    return out.view("<u8").ravel()
