@@ -24,7 +24,7 @@ from .shingles import KEY_MASK, PER_SET, SLOT_BITS, fragment_keys, information,
 #: Ranges of the global order over which overlaps are bounded, and segments in which they are counted.
 RANGES, SEGMENTS = 64, 4
 #: A fragment held by more sets is joined in blocks of SALTS x SALTS instead of in one task.
-HOT, SALTS = 512, 16
+HOT, SALTS = 4096, 16
 #: Bits of the map of nodes whose n-grams are wanted.
 NODE_BITS = 22
 #: Fragments that a worker gathers before it hands them on, and pairs in a batch of its output.
@@ -181,7 +181,7 @@ def _matched(split_hot: bool):
         hot = np.repeat(size > HOT, size)
         if hot.any():
             if split_hot:
-                rows = [pa.array(value[hot] >> 2), pa.nulls(int(hot.sum()), pa.int64()), pa.array(1 + double[hot].astype(np.int32) + 2 * asked[hot]), pa.array(key[hot].astype(np.int64))]
+                rows = [pa.array(value[hot] >> 2), pa.nulls(int(hot.sum()), pa.int64()), pa.array((1 + double[hot] + 2 * asked[hot]).astype(np.int32)), pa.array(key[hot].astype(np.int64))]
             else:
                 rows = [pa.array([-1], pa.int64()), pa.array([-1], pa.int64()), pa.array([2], pa.int32()), pa.array([0], pa.int64())]
             yield pa.RecordBatch.from_arrays(rows, ["a", "b", "n", "key"])
