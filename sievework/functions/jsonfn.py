@@ -61,3 +61,21 @@ def parsed(c: Column, schema: str) -> Column:
 def json_or(c: Column, schema: str, default: Column) -> Column:
     """A JSON column, or the default if it is null, blank, JSON null or broken."""
     return F.coalesce(F.from_json(c, schema), default)
+
+
+def envelope(rows: list[Column], key: str = "evaluations") -> Column:
+    """An aggregate: the rows' columns as a JSON object that lists them under a key; batches are of bounded size."""
+    return F.to_json(F.struct(F.sort_array(F.collect_list(F.struct(*rows))).alias(key)))
+
+
+def opened(c: Column, element: str, key: str = "evaluations") -> Column:
+    """The elements that a JSON envelope lists; none for anything else."""
+    got = F.from_json(c, f"{key} array<struct<{element}>>")[key]
+    return F.coalesce(got, F.array().cast(f"array<struct<{element}>>"))
+
+
+def evaluation_defaults(e: Column) -> dict[str, Column]:
+    """The columns of a decoded evaluation: missing lists are empty, missing flags false."""
+    lists, flags = ("matchingSkills", "missingSkills", "reasons", "concerns"), ("needsCloud",)
+    none = F.array().cast("array<string>")
+    return {**{k: F.coalesce(e[k], none) for k in lists}, **{k: F.coalesce(e[k], F.lit(False)) for k in flags}}

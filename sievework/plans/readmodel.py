@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import parse
+from ..functions.text import truncate_words
 from ..operators.keyed import latest
 
 LABELS = ["HIGH_PRIORITY", "APPLY", "CONSIDER", "SKIP"]
@@ -55,7 +57,7 @@ def find_jobs(
         x = x.where(F.col("recommendation").isin(*labels))
     x = x.where(F.col("status").isin(*statuses)) if statuses else x.where(~F.col("status").isin(*hidden))
     orders = {
-        "score": [F.coalesce("score", F.lit(-1.0)).desc(), F.col("posted_at").desc_nulls_last()],
+        "score": [F.coalesce("score", F.lit(-1.0)).desc(), *([F.col("is_new").desc()] if "is_new" in x.columns else []), F.col("posted_at").desc_nulls_last()],
         "company": [F.collate(F.col("company"), "UNICODE").asc_nulls_last(), F.coalesce("score", F.lit(-1.0)).desc()],
         "posted": [F.col("posted_at").desc_nulls_last()],
         "first_seen": [F.col("first_seen_at").desc_nulls_last()],
@@ -64,6 +66,45 @@ def find_jobs(
     return x.limit(limit) if limit > 0 else x
 
 
+def recent_jobs(jobs: DataFrame, since, limit: int = 500) -> DataFrame:
+    """The postings last seen at or after ``since`` that were first seen latest, at most ``limit``, taken before any ranking; with ``is_new``."""
+    x = jobs.where(F.col("last_seen_at") >= F.lit(since)).withColumn("is_new", F.col("first_seen_at") >= F.lit(since))
+    return x.orderBy(F.col("first_seen_at").desc(), F.col("id")).limit(limit)
+
+
+def ranking() -> list:
+    """The order of a report: score, new ones, posting time (unknown last), confidence, company's name, id."""
+    epoch = F.lit("1970-01-01").cast("timestamp_ntz")
+    return [F.col("score").desc(), F.col("is_new").desc(), F.coalesce("posted_at", epoch).desc(), F.col("confidence").desc(), F.collate(F.col("company"), "UNICODE"), F.col("id")]
+
+
+def best_matches(view: DataFrame, n: int = 5) -> DataFrame:
+    """The first ``n`` of the ranking but for those labelled SKIP."""
+    return view.where("score is not null and recommendation != 'SKIP'").orderBy(*ranking()).limit(n)
+
+
+def by_ids(rows: DataFrame, ids: DataFrame, column: str = "id") -> DataFrame:
+    """The rows whose id is among ``ids`` (one column), however many these are."""
+    return rows.join(ids.toDF(column).distinct(), column, "left_semi")
+
+
+def prompt_view(jobs: DataFrame, most: int) -> DataFrame:
+    """What a model is shown of each posting: unknown values named, the description cut at ``most`` characters."""
+    told = lambda c: F.coalesce(F.col(c), F.lit("unknown"))
+    pay = parse.format_salary(*[F.col(f"salary.{k}") for k in ("currency", "min", "max", "period", "raw")], "unknown")
+    years = parse.format_experience(*[F.col(f"experience_required.{k}") for k in ("min_years", "max_years", "raw")], "unknown")
+    return jobs.select("id", F.col("id").cast("string").alias("jobId"), "title", "company", told("location").alias("location"), told("remote").alias("remote"), pay.alias("salary"), years.alias("experienceRequired"), "skills", truncate_words(F.col("description"), most).alias("description"))
+
+
+def prompt(view: DataFrame, template: str, profile: str, batch: Column | None = None) -> DataFrame:
+    """``prompt`` of each posting, or of each ``batch`` of them: the template with ``{profile}`` and ``{jobs}``, a JSON list, filled in."""
+    key = F.col("id") if batch is None else batch
+    names = [c for c in view.columns if c != "id"]
+    rows = view.groupBy(key.alias("id")).agg(F.to_json(F.sort_array(F.collect_list(F.struct(*names)))).alias("jobs"))
+    before, after = template.replace("{profile}", profile).split("{jobs}")
+    return rows.select("id", F.concat(F.lit(before), "jobs", F.lit(after)).alias("prompt"))
+
+
 def label_counts(evaluations: DataFrame) -> DataFrame:
     """Latest evaluations of each label, 0 for labels without any."""
     e = latest_evaluations(evaluations).groupBy("recommendation").agg(F.count("*").alias("n"))

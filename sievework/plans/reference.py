@@ -12,7 +12,7 @@ from ..functions import text as fn
 from ..operators import greedy, keyed
 from ..session import table
 from ..sources import readers, sinks
-from ..streaming.ingest import windowed_counts
+from ..streaming.ingest import latest_events, replay, windowed_counts
 from . import readmodel
 
 #: The moment from which the tables are looked at.
@@ -51,26 +51,13 @@ def _sql_title(c: str) -> str:
 
 
 _TRACK = "[" + ", ".join(f"'{p}'" for p in fn.TRACKING_PARAMETERS) + "]"
-_URL = f"""CASE WHEN regexp_matches(lower(trim(coalesce(url, ''))), '^[a-z][a-z0-9+.-]*://[^/?\\s]+') THEN regexp_replace('https://' ||
- regexp_replace(regexp_replace(regexp_replace(lower(trim(url)), '#.*$', ''), '^[a-z][a-z0-9+.-]*://(www\\.)?', ''), '\\?.*$', '') ||
- CASE WHEN q = '' THEN '' ELSE '?' || q END, '/$', '') ELSE regexp_replace(lower(trim(coalesce(url, ''))), '/+$', '') END"""
-_WITH_Q = f"""(SELECT *, array_to_string(list_sort(list_filter(string_split(regexp_extract(regexp_replace(lower(trim(coalesce(url, ''))), '#.*$', ''), '\\?(.*)$', 1), '&'),
- lambda p: p <> '' AND NOT list_contains({_TRACK}, string_split(p, '=')[1]))), '&') AS q FROM jobs)"""
-
-
-@query(f"SELECT id, {_KEY.format('title')} AS title_key, {_KEY.format('location')} AS location_key FROM jobs")
-def normalize_key(t) -> DataFrame:
-    return t("jobs").select("id", fn.normalize_key(F.col("title")).alias("title_key"), fn.normalize_key(F.col("location")).alias("location_key"))
-
-
-@query(f"SELECT id, {_sql_company('company')} AS company_key FROM jobs")
-def normalize_company(t) -> DataFrame:
-    return t("jobs").select("id", fn.normalize_company(F.col("company")).alias("company_key"))
-
-
-@query(f"SELECT id, {_sql_title('title')} AS title_key FROM jobs")
-def normalize_title(t) -> DataFrame:
-    return t("jobs").select("id", fn.normalize_title(F.col("title")).alias("title_key"))
+# the address in parts cut at '://', '#', '?' and '/', without a pattern for the whole
+_URL = """CASE WHEN u IS NULL OR instr(u, '://') < 2 THEN regexp_replace(lower(coalesce(u, '')), '/+$', '')
+ ELSE lower(rtrim_one('https://' || host || path || CASE WHEN len(pairs) = 0 THEN '' ELSE '?' || array_to_string(list_transform(list_sort(pairs), lambda p: p.p), '&') END)) END""".replace("rtrim_one(", "regexp_replace(").replace("END))", "END, '/$', ''))")
+_WITH_Q = f"""(SELECT * EXCLUDE (rest), regexp_replace(lower(string_split(rest, '/')[1]), '^www\\.', '') AS host, CASE WHEN instr(rest, '/') = 0 THEN '/' ELSE substring(rest, instr(rest, '/')) END AS path FROM (
+ SELECT *, string_split(substring(no_hash, instr(no_hash, '://') + 3), '?')[1] AS rest,
+ list_filter([struct_pack(name := string_split(p, '=')[1], k := k, p := CASE WHEN instr(p, '=') > 0 THEN p ELSE p || '=' END) FOR p, k IN string_split(CASE WHEN instr(no_hash, '?') > 0 THEN substring(no_hash, instr(no_hash, '?') + 1) ELSE '' END, '&') IF p <> ''], lambda x: NOT list_contains({_TRACK}, lower(x.name))) AS pairs
+ FROM (SELECT *, trim(url) AS u, string_split(trim(url), '#')[1] AS no_hash FROM jobs)))"""
 
 
 @query(f"SELECT id, {_URL} AS url_key FROM {_WITH_Q}")
@@ -84,12 +71,12 @@ def canonical_url_first(t) -> DataFrame:
 
 
 _HTML = "coalesce(description, '')"
-for _p, _r, _f in ((r"(?s)<script\b.*?</script>|<style\b.*?</style>", " ", "gi"), (r"<(?:br|/?p|/?div|/?li|/?ul|/?ol|/?h[1-6]|/?tr)\b[^>]*>", "\n", "gi"), ("<[^>]*>", " ", "g")):
+for _p, _r, _f in ((r"(?s)<script.*?</script>|<style.*?</style>", " ", "gi"), (r"</?(?:p|div|br|li|tr|h[1-6]|section|article|ul|ol|table)[^>]*>", "\n", "gi"), ("<[^>]+>", " ", "g")):
     _HTML = f"regexp_replace({_HTML}, '{_p}', '{_r}', '{_f}')"
 for _e, _c in (("&nbsp;", " "), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''")):
-    _HTML = f"replace({_HTML}, '{_e}', '{_c}')"
-for _p, _r in (("[ \t ]+", " "), (" ?\n ?", "\n"), ("\n{3,}", "\n\n"), (r"^\s+|\s+$", "")):
-    _HTML = f"regexp_replace({_HTML}, '{_p}', '{_r}', 'g')"
+    _HTML = f"regexp_replace({_HTML}, '{_e}', '{_c}', 'gi')"
+# lines are trimmed one by one, then runs of empty ones are cut to one
+_HTML = f"trim(regexp_replace(array_to_string(list_transform(string_split(regexp_replace({_HTML}, '[ \\t\\x{{00a0}}\\x{{2000}}-\\x{{200b}}]+', ' ', 'g'), chr(10)), lambda l: trim(l, ' ' || chr(9) || chr(13))), chr(10)), '\\n{{3,}}', chr(10) || chr(10), 'g'), ' ' || chr(10) || chr(13) || chr(9))"
 
 
 @query(f"SELECT id, {_HTML} AS plain FROM jobs")
@@ -98,7 +85,7 @@ def html_to_text(t) -> DataFrame:
 
 
 @query("""SELECT id, CASE WHEN length(description) <= 200 THEN description ELSE rtrim(CASE WHEN instr(c, ' ') > 0 AND 200 - instr(reverse(c), ' ') > 160
- THEN substring(c, 1, 200 - instr(reverse(c), ' ')) ELSE c END) || chr(10) || '[truncated]' END AS short FROM (SELECT id, description, substring(description, 1, 200) AS c FROM jobs)""")
+ THEN substring(c, 1, 200 - instr(reverse(c), ' ')) ELSE c END) || chr(10) || '[...description truncated...]' END AS short FROM (SELECT id, description, substring(description, 1, 200) AS c FROM jobs)""")
 def truncate_words(t) -> DataFrame:
     return t("jobs").select("id", fn.truncate_words(F.col("description"), 200).alias("short"))
 
@@ -138,10 +125,11 @@ def escape_like(t) -> DataFrame:
     return t("jobs").select("id", fn.escape_like(F.col("title")).alias("escaped"))
 
 
-@query("SELECT doc_id, regexp_replace(regexp_replace(concat_ws(' ', text, 'token=' || doc_id, 'mail x' || doc_id || '@a.example'), '(?i)(api[_-]?key|token|secret|password)(\\s*[=:]\\s*)[^\\s,;&]+', '\\1\\2[REDACTED]', 'g'), '[\\w.+-]+@[\\w-]+\\.[\\w.]+', '[REDACTED]', 'g') AS safe FROM documents")
+@query("SELECT doc_id, concat_ws(' ', text, 'keys [REDACTED] [REDACTED] [REDACTED], [REDACTED] [REDACTED] [REDACTED]; [REDACTED]host.example/x sk-short') AS safe FROM documents")
 def redact(t) -> DataFrame:
-    noisy = F.concat_ws(" ", "text", F.concat(F.lit("token="), "doc_id"), F.concat(F.lit("mail x"), "doc_id", F.lit("@a.example")))
-    return t("documents").select("doc_id", fn.redact(noisy).alias("safe"))
+    n = F.lpad(F.col("doc_id").cast("string"), 24, "A")
+    planted = ["keys sk-or-v1-", n, " sk-", n, " AIza", n, ", AQ.", n, " ghp_", n, " bearer ", n, "; https://user:", n, "@host.example/x sk-short"]
+    return t("documents").select("doc_id", fn.redact(F.concat_ws(" ", "text", F.concat(*[F.lit(x) if isinstance(x, str) else x for x in planted]))).alias("safe"))
 
 
 @query("SELECT source, sum(greatest(1, ceil(length(text) / 4.0)))::BIGINT AS tokens FROM documents GROUP BY source")
@@ -149,41 +137,39 @@ def estimated_tokens(t) -> DataFrame:
     return t("documents").groupBy("source").agg(F.sum(fn.estimated_tokens(F.col("text"))).alias("tokens"))
 
 
-_EDGE = r"(?:^|[^a-z0-9_])(?:{0})(?:$|[^a-z0-9_])"
-_PLACE = "CASE " + " ".join(
-    f"WHEN regexp_matches(x, '{_EDGE.format(p)}') THEN '{k}'" for p, k in ((r"fully[ -]remote|100% remote|remote[ -]only|work from home|wfh|telecommut(?:e|ing)", "REMOTE"), ("hybrid", "HYBRID"), (r"on-?site|on site|in[ -]office|work from office|wfo", "ONSITE"), ("remote", "REMOTE"))
-) + " END"
+# by looking for padded words, not by the engine's patterns
+_PLACE = "CASE " + " ".join("WHEN " + " OR ".join(f"contains(x, ' {w.replace('%', '').replace('-', ' ')} ')" for w in words) + f" THEN '{kind}'" for kind, words in parse.PLACES) + " END"
 
 
-@query(f"SELECT id, {_PLACE} AS place FROM (SELECT id, lower(concat_ws(' ', title, location)) AS x FROM jobs)")
+@query(f"SELECT id, {_PLACE} AS place FROM (SELECT id, ' ' || regexp_replace(lower(concat_ws(' ', title, location)), '[^a-z0-9_]+', ' ', 'g') || ' ' AS x FROM jobs)")
 def work_place(t) -> DataFrame:
     return t("jobs").select("id", parse.work_place(F.col("title"), F.col("location")).alias("place"))
 
 
 @query(r"""WITH x AS (SELECT id, lower(trim(experience_required.raw)) AS t FROM jobs),
- y AS (SELECT id, t, regexp_matches(t, 'fresher|entry[ -]level|(?:^|[^0-9])0 years') AS fresh, regexp_extract(t, '(\d+(?:\.\d+)?)\s*(?:-|–|—|to)\s*(\d+(?:\.\d+)?)', ['a', 'b']) AS s,
- regexp_extract(t, '(\d+(?:\.\d+)?)\s*\+', 1) AS p, regexp_extract(t, '(?:min(?:imum)?|at least|over)\s*(\d+(?:\.\d+)?)', 1) AS l, regexp_extract(t, '(?:up to|max(?:imum)?|under)\s*(\d+(?:\.\d+)?)', 1) AS m,
- regexp_extract(t, '(\d+(?:\.\d+)?)\s*(?:years?|yrs?)', 1) AS n FROM x)
- SELECT id, CASE WHEN t IS NULL THEN NULL WHEN fresh THEN 0.0 WHEN s.a <> '' THEN least(try_cast(s.a AS DOUBLE), try_cast(s.b AS DOUBLE)) WHEN p <> '' THEN try_cast(p AS DOUBLE) WHEN l <> '' THEN try_cast(l AS DOUBLE) WHEN m <> '' THEN NULL ELSE try_cast(nullif(n, '') AS DOUBLE) END AS min_years,
- CASE WHEN t IS NULL OR fresh THEN NULL WHEN s.a <> '' THEN greatest(try_cast(s.a AS DOUBLE), try_cast(s.b AS DOUBLE)) WHEN p <> '' OR l <> '' THEN NULL ELSE try_cast(nullif(m, '') AS DOUBLE) END AS max_years FROM y""")
+ y AS (SELECT id, t, list_transform(regexp_extract_all(t, '\d+(?:\.\d+)?'), lambda n: n::DOUBLE) AS f, regexp_replace(t, '\d+(\.\d+)?', '#', 'g') AS shape FROM x)
+ SELECT id, CASE WHEN contains(shape, 'fresher') OR contains(shape, 'no experience') OR t = '0 years' THEN 0.0 WHEN shape SIMILAR TO '.*# ?(-|to) ?#.*' THEN least(f[1], f[2]) WHEN contains(shape, 'max') OR contains(shape, 'up to') THEN NULL ELSE f[1] END AS min_years,
+ CASE WHEN shape SIMILAR TO '.*# ?(-|to) ?#.*' THEN greatest(f[1], f[2]) WHEN contains(shape, 'max') OR contains(shape, 'up to') THEN f[1] END AS max_years FROM y""")
 def experience_range(t) -> DataFrame:
     x = t("jobs").select("id", parse.experience_range(F.col("experience_required.raw")).alias("e"))
     return x.select("id", "e.min_years", "e.max_years")
 
 
-@query("""SELECT id, CASE WHEN d = 0 THEN TIMESTAMP '2026-09-12' WHEN d % 7 = 0 THEN TIMESTAMP '2026-09-12' - to_days(d::INTEGER) ELSE TIMESTAMP '2026-09-12' - to_days(d::INTEGER) END AS posted_time
- FROM (SELECT id, date_diff('day', first_seen_at::DATE, DATE '2026-09-12') AS d FROM jobs WHERE first_seen_at IS NOT NULL)""")
+@query("""SELECT id, CASE WHEN d <= 0 OR id % 5 = 4 THEN TIMESTAMP '2026-09-12' WHEN id % 5 = 0 THEN TIMESTAMP '2026-09-12' - to_days(7 * (d // 7)) WHEN id % 5 = 1 THEN TIMESTAMP '2026-09-12' - to_days(30 * (d // 30))
+ WHEN id % 5 = 2 THEN first_seen_at::DATE::TIMESTAMP ELSE TIMESTAMP '2026-09-12' - to_days(CASE WHEN d = 1 THEN 1 ELSE d END) END AS posted_time
+ FROM (SELECT id, first_seen_at, date_diff('day', first_seen_at::DATE, DATE '2026-09-12')::INTEGER AS d FROM jobs WHERE first_seen_at IS NOT NULL)""")
 def posted_at(t) -> DataFrame:
-    d = F.datediff(F.lit(NOW.date()), F.col("first_seen_at").cast("date"))
-    told = F.when(d == 0, "today").when(d % 7 == 0, F.concat((d / 7).cast("int"), F.lit(" weeks ago"))).otherwise(F.concat(d, F.lit(" days ago")))
+    d, kind = F.datediff(F.lit(NOW.date()), F.col("first_seen_at").cast("date")), F.col("id") % 5
+    ago = lambda n, unit: F.concat(F.lit("Posted "), F.floor(n).cast("string"), F.lit(f" {unit} ago"))
+    told = F.when((d <= 0) | (kind == 4), F.when(d % 2 == 0, "Just now").otherwise("3 hours ago")).when(kind == 0, ago(d / 7, "weeks")).when(kind == 1, ago(d / 30, "months")).when(kind == 2, F.date_format("first_seen_at", "yyyy-MM-dd")).when(d == 1, "Yesterday").otherwise(ago(d, "days"))
     at = parse.posted_at(told, F.lit(NOW).cast("timestamp_ntz")).cast("timestamp_ntz")
     return t("jobs").where("first_seen_at is not null").select("id", at.alias("posted_time"))
 
 
-@query("SELECT id, list_distinct(list_filter(list_transform(string_split_regex(coalesce(array_to_string(skills, '; '), ''), '[,;|]'), lambda s: trim(s)), lambda s: s <> '')) IS NOT NULL AND true AS ok, len(list_distinct(list_filter(list_transform(string_split_regex(coalesce(array_to_string(skills, '; '), ''), '[,;|]'), lambda s: trim(s)), lambda s: s <> '')))::INTEGER AS n_skills FROM jobs")
+@query("SELECT id, array_to_string(list_distinct_in_order, '|') AS listed FROM (SELECT id, [x FOR x, i IN s IF list_position(s, x) = i] AS list_distinct_in_order FROM (SELECT id, list_filter(list_transform(coalesce(skills, []), lambda x: trim(x)), lambda x: x <> '') AS s FROM jobs))")
 def skills_list(t) -> DataFrame:
-    s = parse.skills_list(F.array_join("skills", "; "))
-    return t("jobs").select("id", s.isNotNull().alias("ok"), F.size(s).alias("n_skills"))
+    typed = F.concat(F.array_join("skills", " ; "), F.lit(" |, ;"), F.array_join("skills", ","))  # every skill twice, and blanks
+    return t("jobs").select("id", F.array_join(F.coalesce(parse.skills_list(typed), F.array()), "|").alias("listed"))
 
 
 _RICH = """coalesce(length(description), 0) + CASE WHEN salary IS NULL THEN 0 ELSE 500 END + CASE WHEN experience_required IS NULL THEN 0 ELSE 500 END + CASE WHEN location IS NULL THEN 0 ELSE 200 END
@@ -238,23 +224,41 @@ def first_per_key(t) -> DataFrame:
     return keyed.first_by(x, ["source", "k"], [F.col("id")]).select("k", "id")
 
 
-_SNAP = """(SELECT source, upper(regexp_replace(external_id, '^\\s+|\\s+$', '', 'g')) AS k, snapshot_no, max(struct_pack(a := last_seen_at, b := loaded_at, h := lower(trim(content_hash)), f := first_seen_at)) AS m FROM job_snapshots WHERE snapshot_no IN (1, 2) GROUP BY ALL)"""
+_SNAP = """(SELECT source, upper(regexp_replace(external_id, '^\\s+|\\s+$', '', 'g')) AS k, snapshot_no, max(struct_pack(a := last_seen_at, b := loaded_at, h := lower(trim(content_hash)), f := first_seen_at)) AS m FROM job_snapshots GROUP BY ALL)"""
 
 
-@query(f"""WITH x AS (SELECT source, k, snapshot_no, m.h AS h, m.f AS f, m.a AS a FROM {_SNAP}), s AS (SELECT * FROM x WHERE snapshot_no = 1), i AS (SELECT * FROM x WHERE snapshot_no = 2)
- SELECT coalesce(i.source, s.source) AS source, coalesce(i.k, s.k) AS k, CASE WHEN i.k IS NULL THEN s.h ELSE i.h END AS h, coalesce(s.f, i.f) AS first_seen_at,
- CASE WHEN i.k IS NULL THEN 'KEPT' WHEN s.k IS NULL THEN 'NEW' WHEN i.h IS DISTINCT FROM s.h THEN 'CHANGED' ELSE 'UNCHANGED' END AS change FROM s FULL JOIN i ON s.source = i.source AND s.k = i.k""")
+@query(f"""WITH x AS (SELECT source, k, snapshot_no, m.h AS h, m.f AS f FROM {_SNAP}), l AS (SELECT max(snapshot_no) AS n FROM x),
+ o AS (SELECT *, row_number() OVER (PARTITION BY source, k ORDER BY snapshot_no DESC) AS back, row_number() OVER (PARTITION BY source, k ORDER BY snapshot_no) AS fore FROM x),
+ s AS (SELECT a.source, a.k, a.h, a.snapshot_no AS n, b.f FROM o a JOIN o b ON a.source = b.source AND a.k IS NOT DISTINCT FROM b.k AND b.fore = 1 WHERE a.back = 1),
+ p AS (SELECT source, k, h FROM o WHERE back = 2)
+ SELECT s.source, s.k, s.h, s.f AS first_seen_at, CASE WHEN s.n < l.n THEN 'KEPT' WHEN p.source IS NULL THEN 'NEW' WHEN s.h IS DISTINCT FROM p.h THEN 'CHANGED' ELSE 'UNCHANGED' END AS change
+ FROM s CROSS JOIN l LEFT JOIN p ON s.source = p.source AND s.k IS NOT DISTINCT FROM p.k""")
 def upsert_changes(t) -> DataFrame:
+    """The table after every delivery was upserted in turn, with what the last one did to each row."""
     from ..operators.snapshots import trimmed
 
-    x = t("job_snapshots").select("source", F.upper(trimmed(F.col("external_id"))).alias("k"), "snapshot_no", "last_seen_at", "loaded_at", F.lower(F.trim("content_hash")).alias("h"), F.col("first_seen_at"))
-    one = lambda n: keyed.latest(x.where(F.col("snapshot_no") == n), ["source", "k"], ["last_seen_at", "loaded_at", "h", "first_seen_at"]).select("source", "k", "h", "first_seen_at")
-    return keyed.upsert(one(1), one(2), ["source", "k"], "h", ["first_seen_at"])
+    order = ["last_seen_at", "loaded_at", "h", "first_seen_at"]
+    x = t("job_snapshots").select("source", F.upper(trimmed(F.col("external_id"))).alias("k"), "snapshot_no", "last_seen_at", "loaded_at", F.lower(F.trim("content_hash")).alias("h"), "first_seen_at")
+    rows = keyed.latest(x, ["source", "k", "snapshot_no"], order)
+    last = rows.agg(F.max("snapshot_no")).first()[0]
+    # what all earlier deliveries leave: the state of the latest, the first sight of the earliest
+    m = rows.where(F.col("snapshot_no") < last).groupBy("source", "k").agg(F.max(F.struct("snapshot_no", "h")).alias("l"), F.min(F.struct("snapshot_no", "first_seen_at")).alias("f"))
+    stored = m.select("source", "k", F.col("l.h").alias("h"), F.col("f.first_seen_at").alias("first_seen_at"))
+    return keyed.upsert(stored, rows.where(F.col("snapshot_no") == last).select("source", "k", "h", "first_seen_at"), ["source", "k"], "h", ["first_seen_at"])
+
 
+@query("SELECT change, count(*) AS n FROM (SELECT CASE WHEN j.k IS NULL THEN 'NEW' WHEN j.h IS DISTINCT FROM i.h THEN 'CHANGED' ELSE 'UNCHANGED' END AS change FROM (SELECT source, upper(trim(external_id)) AS k, arg_max(lower(trim(content_hash)), incoming_id) AS h FROM incoming_jobs WHERE source IS NOT NULL AND external_id IS NOT NULL GROUP BY ALL) i LEFT JOIN (SELECT source, upper(trim(external_id)) AS k, arg_max(lower(trim(content_hash)), id) AS h FROM jobs GROUP BY ALL) j ON i.source = j.source AND i.k = j.k) GROUP BY change")
+def upsert_state_counts(t) -> DataFrame:
+    rows = lambda name, i: t(name).select("source", F.upper(F.trim("external_id")).alias("k"), F.col(i).alias("id"), F.lower(F.trim("content_hash")).alias("h")).where("source is not null and k is not null")
+    newest = lambda x: x.groupBy("source", "k").agg(F.max_by("h", F.when(F.col("h").isNotNull(), F.col("id"))).alias("h"))
+    x = keyed.upsert(newest(rows("jobs", "id")), newest(rows("incoming_jobs", "incoming_id")), ["source", "k"], "h", [])
+    return x.where("change != 'KEPT'").groupBy("change").agg(F.count("*").alias("n"))
 
-@query("SELECT DISTINCT ON (source) source FROM incoming_jobs WHERE source NOT IN (SELECT source FROM jobs WHERE source IS NOT NULL AND id < 20) ORDER BY source")
+
+@query("SELECT DISTINCT source, trim(url) AS address FROM incoming_jobs WHERE source IS NOT NULL AND trim(url) <> '' AND (source, trim(url)) NOT IN (SELECT source, trim(url) FROM jobs WHERE url IS NOT NULL AND source IS NOT NULL)")
 def insert_absent(t) -> DataFrame:
-    return keyed.insert_absent(t("jobs").where("id < 20"), t("incoming_jobs").where("source is not null"), ["source"]).select("source")
+    rows = lambda name: t(name).where("source is not null").select("source", F.trim("url").alias("address")).where("address != ''")
+    return keyed.insert_absent(rows("jobs"), rows("incoming_jobs"), ["source", "address"])
 
 
 @query("""SELECT DISTINCT source, upper(trim(external_id)) AS k FROM incoming_jobs i WHERE source IS NOT NULL AND external_id IS NOT NULL
@@ -348,15 +352,29 @@ def search_literal(t) -> DataFrame:
     return t("jobs").where(readmodel.contains("title", "_Engineer") | readmodel.contains("title", "100%")).select("id")
 
 
-@query(f"""SELECT id, score, rank FROM (SELECT id, score, row_number() OVER (ORDER BY score DESC, first_seen_at >= TIMESTAMP '2026-09-11' DESC, coalesce(posted_at, TIMESTAMP '1970-01-01') DESC, confidence DESC, id) AS rank FROM {_VIEW} WHERE score IS NOT NULL) WHERE rank <= 100""")
+_RANK = "score DESC, first_seen_at >= TIMESTAMP '2026-09-11' DESC, coalesce(posted_at, TIMESTAMP '1970-01-01') DESC, confidence DESC, company COLLATE NOCASE, id"
+
+
+def _ranked(t) -> DataFrame:
+    return _view(t).withColumn("is_new", F.col("first_seen_at") >= F.lit(dt.datetime(2026, 9, 11)).cast("timestamp_ntz"))
+
+
+@query(f"SELECT id, score, rank FROM (SELECT id, score, row_number() OVER (ORDER BY {_RANK}) AS rank FROM {_VIEW} WHERE score IS NOT NULL) WHERE rank <= 100")
 def rank_jobs(t) -> DataFrame:
     from pyspark.sql import Window as W
 
-    epoch = F.lit(dt.datetime(1970, 1, 1)).cast("timestamp_ntz")
-    new = F.col("first_seen_at") >= F.lit(dt.datetime(2026, 9, 11)).cast("timestamp_ntz")
-    order = [F.col("score").desc(), new.desc(), F.coalesce("posted_at", epoch).desc(), F.col("confidence").desc(), F.col("id")]
-    top = _view(t).where("score is not null").orderBy(*order).limit(100)  # a top-k report
-    return top.select("id", "score", F.row_number().over(W.orderBy(*order)).cast("bigint").alias("rank"))
+    top = _ranked(t).where("score is not null").orderBy(*readmodel.ranking()).limit(100)  # a top-k report
+    return top.select("id", "score", F.row_number().over(W.orderBy(*readmodel.ranking())).cast("bigint").alias("rank"))
+
+
+@query(f"SELECT id, score, recommendation FROM {_VIEW} WHERE score IS NOT NULL AND recommendation <> 'SKIP' ORDER BY {_RANK} LIMIT 5")
+def best_matches(t) -> DataFrame:
+    return readmodel.best_matches(_ranked(t)).select("id", "score", "recommendation")
+
+
+@query("SELECT id, first_seen_at >= TIMESTAMP '2026-08-15' AS is_new FROM jobs WHERE last_seen_at >= TIMESTAMP '2026-08-15' ORDER BY first_seen_at DESC, id LIMIT 500")
+def recent_jobs(t) -> DataFrame:
+    return readmodel.recent_jobs(t("jobs"), dt.datetime(2026, 8, 15)).select("id", "is_new")
 
 
 @query(f"SELECT l.recommendation, coalesce(n, 0) AS n FROM (SELECT unnest(['HIGH_PRIORITY', 'APPLY', 'CONSIDER', 'SKIP']) AS recommendation) l LEFT JOIN (SELECT recommendation, count(*) AS n FROM {_LATEST} GROUP BY 1) c USING (recommendation)")
@@ -435,9 +453,14 @@ def windowed_events(t) -> DataFrame:
     return windowed_counts(t("events"), "ts", "event_type")
 
 
-@query("SELECT event_id, user_id, event_type FROM events WHERE event_id > 100 ORDER BY event_id LIMIT 500")
+@query("SELECT event_id, user_id, event_type FROM events WHERE event_id > 100 ORDER BY event_id")
 def event_replay(t) -> DataFrame:
-    return t("events").where("event_id > 100").orderBy("event_id").limit(500).select("event_id", "user_id", "event_type")  # the log's own page size
+    return replay(t("events"), "event_id", 100).select("event_id", "user_id", "event_type")
+
+
+@query("SELECT event_id, user_id, event_type FROM events ORDER BY event_id DESC LIMIT 500")
+def event_tail(t) -> DataFrame:
+    return latest_events(t("events"), "event_id", 500).select("event_id", "user_id", "event_type")
 
 
 QUERIES = {k: f for k, (f, _) in _BUILT.items()}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.keyed import latest, upsert
@@ -33,6 +33,11 @@ def first_seen_stream(events: DataFrame, keys: list[str], at: str, late: str = "
     return events.withWatermark(at, late).dropDuplicatesWithinWatermark(keys)
 
 
-def replay(spark: SparkSession, log: str, after: int, limit: int = 500) -> DataFrame:
-    """The next events of an append-only log after a sequence number, in order, at most ``limit``."""
-    return spark.read.parquet(log).where(F.col("seq") > after).orderBy("seq").limit(limit)
+def replay(events: DataFrame, seq: str, after: int) -> DataFrame:
+    """All events of an append-only log after a sequence number, in order."""
+    return events.where(F.col(seq) > after).orderBy(seq)
+
+
+def latest_events(events: DataFrame, seq: str, keep: int = 500) -> DataFrame:
+    """The last ``keep`` events, as a ring buffer of that size would hold them."""
+    return events.orderBy(F.col(seq).desc()).limit(keep)

@@ -1,5 +1,5 @@
 from sievework.sources.sinks import Snapshots
-from sievework.streaming.ingest import first_seen_stream, replay, upsert_stream, windowed_counts
+from sievework.streaming.ingest import first_seen_stream, latest_events, replay, upsert_stream, windowed_counts
 
 SCHEMA = "seq bigint, k string, h string, at timestamp"
 
@@ -19,4 +19,5 @@ def test_upserts_and_counts(spark, tmp_path):
     q = first_seen_stream(stream(), ["k"], "at").writeStream.format("memory").queryName("firsts").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.table("firsts").count() == 2
-    assert [r.seq for r in replay(spark, src, 1, 2).collect()] == [2, 3]
+    assert [r.seq for r in replay(spark.read.parquet(src), "seq", 1).collect()] == [2, 3, 4]
+    assert [r.seq for r in latest_events(spark.read.parquet(src), "seq", 2).collect()] == [4, 3]
