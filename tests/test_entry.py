@@ -9,13 +9,13 @@ SF = "/root/testdata/sf0.001"
 def test_queries_run_and_match_their_sql(spark):
     duckdb = pytest.importorskip("duckdb")
     import __spark_entry__ as entry
-    from sievework.plans import reference, training
+    from sievework.plans import lifecycle, reference, training
 
     assert entry.entry(spark).columns == ["source", "external_id", "snapshot_no", "change_kind"]
     con = duckdb.connect()
     for f in os.listdir(SF):
         con.execute(f"create view {f.split('.')[0]} as select * from '{SF}/{f}'")
-    for module in (training, reference):
+    for module in (training, reference, lifecycle):
         for name, f in module.QUERIES.items():
             df = f(spark, SF)
             cols = sorted(df.columns)
