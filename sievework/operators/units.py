@@ -24,15 +24,10 @@ PERIOD_ALIASES = {
     "DAILY": ["day", "daily", "tag"],
     "HOURLY": ["hour", "hourly", "hr", "ph", "p.h", "std", "stunde"],
 }
-#: What a board means where neither text nor fields say it: period, and the scale
-#: of figures below ``below``. From the boards' pay notes.
-NOTE_PATTERNS = [
-    ("lakh rupees per year", "YEARLY", 1e5, 1e3),
-    ("thousands of dollars per year", "YEARLY", 1e3, 1e3),
-    ("without a period are per hour", "HOURLY", 1.0, 0.0),
-    ("without a period are per month", "MONTHLY", 1.0, 0.0),
-    ("yearly pay", "YEARLY", 1.0, 0.0),
-]
+#: Scale words of notes beside those of texts.
+NOTE_SCALES = SCALE_ALIASES | {"thousand": 1e3, "thousands": 1e3, "million": 1e6, "millions": 1e6}
+#: Figures from here on are taken for full amounts, whatever scale a note states.
+LEAST_FULL = 1e3
 
 _TENS = {"twenty": 20, "thirty": 30, "forty": 40, "fifty": 50, "sixty": 60, "seventy": 70, "eighty": 80, "ninety": 90}
 _ONES = ["one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten", "eleven", "twelve", "thirteen", "fourteen", "fifteen", "sixteen", "seventeen", "eighteen", "nineteen"]
@@ -48,6 +43,9 @@ PAY = rf"(?<![a-z0-9#])(?:({_CUR})\s*)?{_FIGURE}(?:\s*(?:-|–|—|to|bis|and)\s
 _PERIOD = "|".join(sorted((a.replace(".", r"\.\s?") for v in PERIOD_ALIASES.values() for a in v), key=len, reverse=True))
 #: what follows the pay itself: bonuses, leave, experience and the like
 EXTRAS = r"\s*(?:\+\s|\bplus\b|\(|,\s*\d+\s*(?:days|weeks)|,\s*(?!\d)|\bincl|&).*$"
+#: a unit in brackets or behind a comma belongs to the pay, and so does what stands behind a bracket before any figure
+_UNIT = rf"(?:(?:per|a|an|each|every|/)\s*)?(?:{_CUR}|{_SCALE}|{_PERIOD})(?:\s*(?:per|a|an|/)?\s*(?:{_PERIOD}))?"
+INSIDE = [(rf"\(\s*({_UNIT})\s*\)", " $1 "), (rf",\s*(?={_UNIT}(?![a-z]))", " "), (r"^([^0-9(]*)\([^0-9)]*\)", "$1 ")]
 
 
 def number_words() -> list[tuple[str, float]]:
@@ -84,6 +82,47 @@ def _aliases(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     return F.broadcast(spark.createDataFrame(rows, schema))  # a few dozen rows, fixed
 
 
+def converted(value: Column, factor: Column, offset: Column | None = None) -> Column:
+    """A value in common units."""
+    return value * factor + (F.lit(0.0) if offset is None else offset)
+
+
+def measured(rows: DataFrame, text: str, unit_field: str | None, source: str, aliases: DataFrame, defaults: DataFrame) -> DataFrame:
+    """``rows`` with ``value`` and ``unit``: the quantity that a text states, in common units.
+
+    ``aliases``: alias (lower case), unit, factor, offset, with value * factor +
+    offset in ``unit``; ``defaults``: source, alias. The first number of the text
+    counts, its unit is the first known of the word behind it, ``unit_field`` and
+    the source's default. Without number or known unit both are null. A null text,
+    unknown sources and repeated rows give a row each; aliases are unique.
+    """
+    names = F.broadcast(aliases.select(F.lower("alias").alias("_alias"), F.col("unit").alias("_unit"), "factor", "offset"))  # a unit table
+    number_and_unit = r"([+\-\u2212]?\d+(?:\.\d+)?)\s*([\p{L}°%µ/]+[\p{L}\d²³/]*)?"
+    t = F.lower(F.col(text))
+    x = rows.withColumns({"_n": F.translate(F.regexp_extract(t, number_and_unit, 1), "\u2212", "-").try_cast("double"), "_said": F.regexp_extract(t, number_and_unit, 2), "_field": F.lower(F.col(unit_field)) if unit_field else F.lit(None).cast("string")})
+    x = x.join(F.broadcast(defaults.select(F.col("source").alias(source), F.lower("alias").alias("_default"))), source, "left")
+    for k in ("_said", "_field", "_default"):
+        x = x.join(names.select(F.col("_alias").alias(k), F.struct("_unit", "factor", "offset").alias(f"{k}_u")), k, "left")
+    unit = F.coalesce("_said_u", "_field_u", "_default_u")
+    x = x.withColumn("_u", F.when(F.col("_n").isNotNull(), unit))
+    return x.select(*[F.col(c) for c in rows.columns], converted(F.col("_n"), F.col("_u.factor"), F.col("_u.offset")).alias("value"), F.col("_u._unit").alias("unit"))
+
+
+def noted_units(note: Column) -> Column:
+    """struct<period, scale> that a source's note on pay names, each null unless exactly one is named."""
+    words = F.regexp_extract_all(F.lower(note), F.lit(r"[\p{L}.]+"), F.lit(0))
+    words = F.transform(words, lambda w: F.regexp_replace(w, r"\.+$", ""))
+    periods = {a: p for p, v in PERIOD_ALIASES.items() for a in v if len(a) > 1}
+
+    def only(known: dict) -> Column:
+        table = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
+        named = F.array_distinct(F.filter(F.transform(words, lambda w: F.try_element_at(table, w)), lambda v: v.isNotNull()))
+        return F.when(F.size(named) == 1, named[0])
+
+    scales = {a: v for a, v in NOTE_SCALES.items() if len(a) > 2}
+    return F.when(only(periods).isNotNull(), F.struct(only(periods).alias("period"), only(scales).alias("scale")))
+
+
 def annual_pay(jobs: DataFrame, boards: DataFrame, fx: DataFrame, periods: DataFrame, id_col: str = "id", pay_col: str = "salary") -> DataFrame:
     """``id, source, inr_min, inr_max``: a row per record whose base pay can be told.
 
@@ -100,15 +139,15 @@ def annual_pay(jobs: DataFrame, boards: DataFrame, fx: DataFrame, periods: DataF
     cur = _aliases(spark, list(CURRENCY_ALIASES.items()), "cur_alias string, t_currency string")
     scale = _aliases(spark, list(SCALE_ALIASES.items()), "sc_alias string, t_scale double")
     per = _aliases(spark, [(a, p) for p, v in PERIOD_ALIASES.items() for a in v], "per_alias string, t_period string")
-    notes = boards.select(
-        "source", "default_currency",
-        F.coalesce(*[F.when(F.lower("pay_note").contains(n), F.struct(F.lit(p).alias("period"), F.lit(s).alias("scale"), F.lit(b).alias("below"))) for n, p, s, b in NOTE_PATTERNS]).alias("note"),
-    )
+    notes = boards.select("source", "default_currency", noted_units(F.col("pay_note")).alias("note"))
     s = F.col(pay_col)
-    body = F.regexp_replace(F.lower(F.regexp_replace(s["raw"], r"[\p{Z}\s​﻿­]+", " ")), EXTRAS, "")
+    body = F.lower(F.regexp_replace(s["raw"], r"[\p{Z}\s​﻿­]+", " "))
+    for pattern, kept in INSIDE:
+        body = F.when(body.rlike("[(,]"), F.regexp_replace(body, pattern, kept)).otherwise(body)
+    body = F.regexp_replace(body, EXTRAS, "")
     x = jobs.select(
         F.col(id_col).alias("id"), F.col("source"), body.alias("t"), s["currency"].alias("f_currency"), s["period"].alias("f_period"), s["min"].alias("f_min"), s["max"].alias("f_max")
-    ).where("t rlike '[0-9]|teen|t[wh]|eight|fif|ten|lakh|hundred|one|four|five|six|seven|nine|eleven' or f_min is not null or f_max is not null")
+    ).where(F.col("t").rlike(rf"\d|{_ONE}|{'|'.join(_TENS)}|hundred") | F.col("f_min").isNotNull() | F.col("f_max").isNotNull())
     # one pass of the pattern: its seven groups and the rest of the text
     parts = F.split(F.regexp_replace("t", rf"^.*?{PAY}(.*)$", "\u0001".join(f"${k}" for k in range(1, 9))), "\u0001")
     x = _evaluated(x, ["id", "source", "f_currency", "f_period", "f_min", "f_max"], [F.col("t"), parts.alias("g")])
@@ -138,9 +177,9 @@ def annual_pay(jobs: DataFrame, boards: DataFrame, fx: DataFrame, periods: DataF
         lo.alias("lo"), hi.alias("hi"),
         F.coalesce(F.when(F.col("use_text"), F.col("t_currency")), "f_currency", "default_currency").alias("currency"),
         F.coalesce(F.when(F.col("use_text"), said_period), F.upper("f_period"), "note.period").alias("period_code"),
-        F.when(bare & (F.greatest(lo, hi) < F.col("note.below")), F.col("note.scale")).otherwise(F.lit(1.0)).alias("scale"),
+        F.when(bare & (F.greatest(lo, hi) < LEAST_FULL), F.coalesce("note.scale", F.lit(1.0))).otherwise(F.lit(1.0)).alias("scale"),
     ]).where("lo > 0 and hi > 0")
     x = x.join(F.broadcast(fx), "currency").join(F.broadcast(periods), "period_code")
     factor = F.col("scale") * F.col("inr_per_unit") * F.col("per_year")
-    inr = lambda c: F.round(c * factor, 0).cast("bigint")
+    inr = lambda c: F.round(converted(c, factor), 0).cast("bigint")
     return x.select("id", "source", inr(F.least("lo", "hi")).alias("inr_min"), inr(F.greatest("lo", "hi")).alias("inr_max"))

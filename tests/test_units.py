@@ -1,4 +1,4 @@
-from sievework.operators.units import annual_pay
+from sievework.operators.units import annual_pay, measured
 
 PAY = "currency string, min double, max double, period string, raw string"
 
@@ -45,3 +45,29 @@ def test_text_and_fields(spark):
 
 def test_empty(spark):
     assert pay(spark, []) == {}
+
+
+def test_brackets_commas_and_number_words(spark):
+    raws = ["(INR) 12,00,000 per annum", "INR 12,00,000, per annum", "Rs 50,000 (per month)", "12,00,000 INR per annum", "(urgent) 12 LPA (plus bonus)", "usd forty an hour", "forty lakh per annum, 20 days leave"]
+    got = pay(spark, [("none", (None, None, None, None, r)) for r in raws])
+    assert [got.get(k, (None,))[0] for k in range(len(raws))] == [1200000, 1200000, 600000, 1200000, 1200000, 40 * 84 * 2080, 4000000]
+
+
+def test_notes_are_read_in_any_wording(spark):
+    from pyspark.sql import functions as F
+
+    from sievework.operators.units import noted_units
+
+    notes = ["Numbers mean thousands of euros a year.", "Amounts are monthly.", "By the day or by the week.", "In full.", None, "lakhs, annually"]
+    rows = spark.createDataFrame([(k, n) for k, n in enumerate(notes)], "k int, n string").select("k", noted_units(F.col("n")).alias("u")).orderBy("k").collect()
+    assert [r.u and (r.u.period, r.u.scale) for r in rows] == [("YEARLY", 1000.0), ("MONTHLY", None), None, None, None, ("YEARLY", 1e5)]
+
+
+def test_units_with_offset(spark):
+    rows = spark.createDataFrame([(1, "21.5 °C", None, "a"), (2, "about 70", "f", "b"), (3, "-40", None, "b"), (4, "300 K", "c", None), (5, "cold", "c", "a"), (6, None, None, "a"), (7, "5 parsec", None, None), (7, "5 parsec", None, None)], "id int, text string, unit_of string, source string")
+    rows = rows.withColumn("factor", rows["id"])  # a clashing name
+    aliases = spark.createDataFrame([("°c", "C", 1.0, 0.0), ("c", "C", 1.0, 0.0), ("f", "C", 5 / 9, -160 / 9), ("k", "C", 1.0, -273.15)], "alias string, unit string, factor double, offset double")
+    defaults = spark.createDataFrame([("b", "F")], "source string, alias string")
+    got = measured(rows.drop("factor"), "text", "unit_of", "source", aliases, defaults).orderBy("id").collect()
+    assert [r.value and round(r.value, 2) for r in got] == [21.5, 21.11, -40.0, 26.85, None, None, None, None] and got[0].unit == "C"
+    assert measured(rows.drop("factor").limit(0), "text", None, "source", aliases, defaults).count() == 0
