@@ -76,6 +76,11 @@ def test_levels(spark):
     docs += [(500, run_on + "."), (501, None), (502, ""), (503, "too short"), (504, "Der Bewerber bespricht heute die Stelle und das Gehalt mit dem Team. " * 8), (505, " ".join(easy * 20_000))]
     d = spark.createDataFrame([(*x, "en", 1) for x in docs], "doc_id bigint, text string, lang string, words int")
     got = {x.doc_id: x.band for x in reading_levels(d).collect()}
-    assert not {501, 502, 503, 504} & set(got) and got[500] == 1 and got[505] == 1
+    assert not {501, 502, 503, 504} & set(got) and got[500] == 3 and got[505] == 1  # easy words in one endless sentence are hard to read
     assert sum(got[k] == b for k, b in want.items()) >= 0.95 * len(want)
     assert reading_levels(d.limit(0)).count() == 0
+    # a table of graded texts: every word of "a" texts is worth 4 years, of "b" texts 14, whatever their sentences
+    lessons = [(f"the {w} of a {w} is in the {w} and {w} to {w}. " * 3, g) for g, ws in ((4.0, ("pen", "cup", "hat")), (14.0, ("quoin", "parol", "estop"))) for w in ws for _ in range(4)]
+    told = spark.createDataFrame([(1, lessons[0][0] * 3), (2, lessons[-1][0] * 3)], "doc_id bigint, text string")
+    graded = {x.doc_id: x.grade for x in reading_levels(told.union(told.selectExpr("doc_id + 10", "text")), graded=spark.createDataFrame(lessons, "text string, grade double"), least_count=1).collect()}
+    assert abs(graded[1] - 4) < 0.5 and abs(graded[2] - 14) < 0.5
