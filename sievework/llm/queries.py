@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.units import annual_pay
+from ..plans.training import _P2
 from ..session import table
 from .canonical import canonical_fields
 from .fusion import fused_values, posting_claims, survivors
@@ -112,7 +113,9 @@ def _words(c: str) -> str:
     return rf"coalesce(regexp_extract_all(lower({clean}), '[\p{{L}}\p{{N}}]+'), [])"
 
 
-# The others have none: their SQL would repeat the operator (2, 4, 5, 6, 9, 10) or can't be said without recursion (7).
+_P6_WORDS = _words("description")
+
+# The others have none: they rest on fitted or learned values (4, 5, 6's fusion, 10), on a flow (9), or go row by row through a history (7).
 # They are tested against brute force and fixtures.
 ORACLES: dict[str, str] = {
     "p3_found": f"""
@@ -121,6 +124,19 @@ s AS (SELECT DISTINCT id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (
 c AS (SELECT id, count(*) AS n FROM s GROUP BY id),
 o AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS o FROM s a JOIN s b ON a.g = b.g AND a.id < b.id GROUP BY ALL)
 SELECT id_a, id_b FROM o JOIN c a ON a.id = id_a JOIN c b ON b.id = id_b WHERE o * 10 >= 6 * (a.n + b.n - o)""",
+    "p3_groups": f"""
+WITH RECURSIVE w AS (SELECT id, list_concat(list_concat({_words('title')}, {_words('company')}), {_words('description')}) AS w, len({_words('description')}) AS n FROM jobs),
+s AS (SELECT DISTINCT id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT id, w, unnest(range(1, len(w) - 1)) AS i FROM w WHERE n >= 20) t),
+c AS (SELECT id, count(*) AS n FROM s GROUP BY id),
+o AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS o FROM s a JOIN s b ON a.g = b.g AND a.id <> b.id GROUP BY ALL),
+p AS MATERIALIZED (SELECT id_a, id_b FROM o JOIN c a ON a.id = id_a JOIN c b ON b.id = id_b WHERE o * 10 >= 6 * (a.n + b.n - o)),
+r AS (SELECT id, id AS root FROM c UNION SELECT p.id_b, r.root FROM r JOIN p ON p.id_a = r.id)
+SELECT r.id, min(root) AS group_id, (SELECT count(*) FROM p WHERE p.id_a = r.id) AS n_links FROM r GROUP BY r.id""",
+    "p6_found": _P2 + f""", j AS (SELECT *, lower(regexp_replace(fingerprint, '^\\s+|\\s+$', '', 'g')) AS k, len({_P6_WORDS}) AS n_words FROM jobs),
+x AS (SELECT j.*, p.id IS NOT NULL AS paid, coalesce(b.trust_rank, 2147483647) AS r, coalesce(posted_at > TIMESTAMP '1970-01-01' AND posted_at <= last_seen_at, false) AS dated FROM j LEFT JOIN found p USING (id) LEFT JOIN boards b ON b.source = j.source WHERE k <> ''),
+m AS (SELECT k, min(id) AS group_id, count(*) AS n FROM x GROUP BY k HAVING count(*) > 1)
+SELECT group_id, (SELECT id FROM x WHERE x.k = m.k ORDER BY n_words DESC, id LIMIT 1) AS description_id, coalesce((SELECT id FROM x WHERE x.k = m.k AND paid ORDER BY r, id LIMIT 1), 0) AS salary_id,
+ coalesce((SELECT id FROM x WHERE x.k = m.k AND dated ORDER BY posted_at DESC, id LIMIT 1), 0) AS posted_id FROM m""",
     "p8_found": f"""
 WITH d AS (SELECT doc_id, {_words('text')} AS w FROM documents), i AS (SELECT item_id, {_words('text')} AS w FROM eval_items),
 g AS (SELECT item_id, least(12, len(w)) AS n, array_to_string(w[k:k + least(12, len(w)) - 1], ' ') AS run FROM (SELECT item_id, w, unnest(range(1, len(w) - least(12, len(w)) + 2)) AS k FROM i WHERE len(w) > 0) t),

@@ -80,4 +80,18 @@ def test_fusion_discounts_copies(spark):
     assert sum(v[0] == 7 for k, v in got.items() if k < 300) >= 250  # three votes of one source count little
     acc = dict(zip(learned["source"], learned["accuracy"]))
     dep = dict(zip(learned["source"], learned["dependence"]))
-    assert acc["d"] > acc["a"] and dep["a"] > 0.9 > dep["d"]
+    assert acc["d"] > acc["a"] and dep["b"] > 0.9 > dep["d"]
+    # b and c, which are later, copy a; a itself copies nobody, d and e neither
+    told = dict(zip(learned["source"], learned["copied_from"]))
+    assert told["a"] is None and told["b"] == "a" and told["c"] in ("a", "b") and told["d"] is None and told["e"] is None
+    # accuracies near the planted ones
+    assert abs(acc["a"] - 2 / 3) < 0.05 and abs(acc["d"] - 6 / 7) < 0.05
+
+
+def test_fusion_takes_near_equal_texts_for_one(spark):
+    sketch = lambda ks: list(ks)
+    rows = [(1, "t", s, v, k, k, sk) for k, (s, v, sk) in enumerate([("a", 10, sketch(range(40))), ("b", 11, sketch(range(1, 39))), ("c", 12, sketch(range(100, 140))), ("d", 13, sketch(range(20)))])]
+    claims = spark.createDataFrame(rows, "g long, field string, source string, value long, id long, at long, sketch array<long>").selectExpr("struct(g as x, 0L as y) as g", "field", "source", "value", "id", "at", "sketch")
+    got = fused_values(claims)[0].first()
+    assert (got.value, got.id) == (10, 0) and got.probability > 0.9
+    assert fused_values(claims.limit(0))[0].count() == 0
