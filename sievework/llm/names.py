@@ -20,20 +20,11 @@ from pyspark.sql import functions as F
 
 from ..session import materialise
 
-# Words that name no employer. Legal forms, words around hiring, lines of business and their usual short forms.
+# Legal forms, and words around hiring, which tell no names apart. Further such words are found by their frequency.
 LEGAL = "ltd limited inc incorporated llc llp corp corporation co company gmbh ag plc pvt private pte sa the and"
 HIRING = "hr careers career hiring team jobs recruitment recruiting india"
-LINES = {
-    "aerospace": "aerospace", "analytics": "analytics anlytcs", "biosciences": "biosciences biosci", "cloud services": "cloud services svcs", "consulting": "consulting consltg",
-    "energy": "energy", "engineering": "engineering engg", "finance": "finance fin", "foods": "foods", "health": "health", "hospitality": "hospitality hosp", "insurance": "insurance ins",
-    "labs": "labs", "learning": "learning", "logistics": "logistics logs", "media": "media", "mobility": "mobility", "motors": "motors", "networks": "networks netwks",
-    "payments": "payments pymts", "pharma": "pharma pharmaceuticals", "retail group": "retail group grp", "robotics": "robotics", "security": "security sec",
-    "software": "software sw", "staffing": "staffing stfg", "studios": "studios", "systems": "systems sys", "technology": "technology technologies", "telecom": "telecom tele", "textiles": "textiles",
-}
-BUSINESS = " ".join(LINES.values())
-_LINE = {w: line for line, words in LINES.items() for w in words.split()}
-#: Letters of a name's beginning that abbreviations keep.
-STEM = 6
+#: Letters that an abbreviation of a word keeps at least.
+LEAST_KEPT = 5
 
 
 def folded(name: str) -> str:
@@ -42,20 +33,50 @@ def folded(name: str) -> str:
     return "".join(c for c in flat if not unicodedata.combining(c) and c not in "​‌‍⁠﻿­").lower()
 
 
-def proper_words(name: str, stop: frozenset[str]) -> list[str]:
-    """The words of a name that tell the entity apart; all words if none does."""
+def words_in(name: str) -> list[str]:
+    """The words of a name: run-together capitals cut, brackets and markup left out, letters that marks keep apart joined (S.W., s/w)."""
     apart = re.sub(r"(?<=[^\W\d_A-Z]{4})(?=[A-Z][^\W\d_A-Z]{4})", " ", name)  # TwoNames
     text = re.sub(r"\([^)]*\)|<[^>]*>|&[a-z]+;", " ", folded(apart))
-    text = re.sub(r"\bs\s*/\s*w\b", " software ", text)
-    words = re.findall(r"[^\W_]+", text)
-    kept = [w for w in words if w not in stop and len(w) > 2]
-    return kept or words
+    text = re.sub(r"\b[^\W\d_](?:\s*[/.&]\s*[^\W\d_])+\b", lambda m: re.sub(r"[\s/.&]", "", m[0]), text)
+    return re.findall(r"[^\W_]+", text)
+
+
+def clips(short: str, full: str) -> bool:
+    """Whether a word is a clipping of another: it begins alike and its letters follow one another in the other, or it is begun by it."""
+    if len(short) > len(full):
+        return len(full) >= LEAST_KEPT and short.startswith(full)
+    if len(short) < 2 or short[0] != full[0] or len(short) == len(full):
+        return False
+    left = iter(full)
+    return all(c in left for c in short)
+
+
+class Generic:
+    """Words that tell no names apart: given ones, and frequent ones with their clippings."""
+
+    def __init__(self, given: frozenset[str], frequent: frozenset[str]):
+        self.given, self.frequent = given, frequent - given
+        self.known: dict[str, list[str]] = {}
+
+    def lines(self, word: str) -> list[str]:
+        """The frequent words that a word is or clips; none for given words."""
+        if word in self.given:
+            return []
+        if word in self.frequent:
+            return [word]
+        if word not in self.known:
+            if len(self.known) > 1 << 17:
+                self.known.clear()
+            self.known[word] = sorted(g for g in self.frequent if clips(word, g))
+        return self.known[word]
 
+    def __contains__(self, word: str) -> bool:
+        return word in self.given or bool(self.lines(word))
 
-def lines_of(name: str) -> list[str]:
-    """The known lines of business that a name states."""
-    text = re.sub(r"\([^)]*\)", " ", folded(name))
-    return sorted({_LINE[w] for w in re.findall(r"[^\W_]+", re.sub(r"\bs\s*/\s*w\b", " software ", text)) if w in _LINE})
+
+def proper_words(words: list[str], generic: Generic) -> list[str]:
+    """The words of a name that tell the entity apart; all words if none does."""
+    return [w for w in words if w not in generic] or words
 
 
 def _damerau(a: str, b: str, most: int) -> int:
@@ -84,14 +105,14 @@ def word_similarity(a: str, b: str) -> float:
     if a == b:
         return 1.0
     short, long = (a, b) if len(a) <= len(b) else (b, a)
-    if len(short) >= STEM - 1 and long.startswith(short):
+    if len(short) >= LEAST_KEPT and long.startswith(short):
         return 0.95
     most = 1
     best = 0.0
     d = _damerau(a, b, most)
     if d <= most:
         best = 1 - d / len(long)
-    if STEM - 1 <= len(short) < len(long):  # an abbreviation with a slip
+    if LEAST_KEPT <= len(short) < len(long):  # an abbreviation with a slip
         d = min(_damerau(short, long[: len(short) + k], 1) for k in (-1, 0, 1))
         if d <= 1:
             best = max(best, 0.95 - 1 / len(long))
@@ -114,8 +135,8 @@ def bands_for(similarity: float, recall: float, rows: int) -> int:
 
 
 def qgrams(words: list[str], q: int = 3) -> list[str]:
-    """Padded q-grams of the beginning of each word, which abbreviations keep."""
-    return sorted({p[i : i + q] for w in words for p in ["^" * (q - 1) + w[:STEM]] for i in range(len(p) - q + 1)})
+    """Q-grams of each whole word, padded at its beginning only, since abbreviations leave out the end."""
+    return sorted({p[i : i + q] for w in words for p in ["^" * (q - 1) + w] for i in range(len(p) - q + 1)})
 
 
 def _signature_fn(bands: int, rows: int, seed: int = 11):
@@ -138,25 +159,39 @@ def _signature_fn(bands: int, rows: int, seed: int = 11):
     return keys
 
 
-def words_of(names: DataFrame, stop: frozenset[str]) -> DataFrame:
-    """``name, words`` with run-together names cut where both parts begin known names."""
+def frequent_words(names: DataFrame, share: float, least: int = 8) -> frozenset[str]:
+    """Words that at least this share of all distinct names hold; of these there are at most (words in a name) / share."""
+
+    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"w": [w for x in pdf["name"] for w in sorted(set(words_in(x)))]})
+
+    total = names.count()
+    counts = names.select("name").mapInPandas(split, "w string").groupBy("w").agg(F.count("*").alias("n"))
+    return frozenset(r.w for r in counts.where(F.col("n") >= max(least, share * total)).collect())
+
+
+def words_of(names: DataFrame, generic: Generic) -> DataFrame:
+    """``name, n, words, lines`` with run-together names cut where both parts begin known names."""
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pdf.assign(words=[proper_words(x, stop) for x in pdf["name"]], lines=[lines_of(x) for x in pdf["name"]])
+            w = [words_in(x) for x in pdf["name"]]
+            yield pdf.assign(words=[proper_words(x, generic) for x in w], lines=[sorted({g for y in x for g in generic.lines(y)}) for x in w])
 
     typed = names.mapInPandas(split, "name string, n bigint, words array<string>, lines array<string>")
-    stems = typed.where("size(words) > 1").select(F.explode("words").alias("w")).where(F.length("w") >= STEM).groupBy(F.substring("w", 1, STEM).alias("stem")).agg(F.count("*").alias("n_stem"))
-    glued = typed.where((F.size("words") == 1) & (F.length(F.col("words")[0]) >= 2 * (STEM - 1))).select("name", F.col("words")[0].alias("w"))
-    cuts = glued.select("name", "w", F.explode(F.sequence(F.lit(STEM - 1), F.length("w") - (STEM - 1))).alias("at"))
+    key = lambda c: F.substring(c, 1, LEAST_KEPT + 1)  # noqa: E731  # the letters by which a part of a run-together name is looked up
+    stems = typed.where("size(words) > 1").select(F.explode("words").alias("w")).where(F.length("w") > LEAST_KEPT).groupBy(key("w").alias("stem")).agg(F.count("*").alias("n_stem"))
+    glued = typed.where((F.size("words") == 1) & (F.length(F.col("words")[0]) >= 2 * LEAST_KEPT)).select("name", F.col("words")[0].alias("w"))
+    cuts = glued.select("name", "w", F.explode(F.sequence(F.lit(LEAST_KEPT), F.length("w") - LEAST_KEPT)).alias("at"))
     cuts = cuts.select("name", F.expr("substring(w, 1, at)").alias("l"), F.expr("substring(w, at + 1)").alias("r"))
     for side in ("l", "r"):
-        cuts = cuts.join(stems.select(F.col("stem").alias(f"{side}_stem"), F.col("n_stem").alias(f"{side}_n")), F.expr(f"substring({side}, 1, {STEM})") == F.col(f"{side}_stem"), "left")
+        cuts = cuts.join(stems.select(F.col("stem").alias(f"{side}_stem"), F.col("n_stem").alias(f"{side}_n")), key(F.col(side)) == F.col(f"{side}_stem"), "left")
     rank = F.struct(
         (F.col("l_n").isNotNull().cast("int") + F.col("r_n").isNotNull().cast("int")).alias("known"),
         (-F.abs(F.length("l") - F.length("r"))).alias("even"), F.col("l"), F.col("r"),
     )
-    best = cuts.groupBy("name").agg(F.max(rank).alias("best")).where(f"best.known > 0 or length(best.l) + length(best.r) > {2 * STEM}").select("name", F.array("best.l", "best.r").alias("parts"))
+    best = cuts.groupBy("name").agg(F.max(rank).alias("best")).where(f"best.known > 0 or length(best.l) + length(best.r) > {2 * LEAST_KEPT + 2}").select("name", F.array("best.l", "best.r").alias("parts"))
     return typed.join(best, "name", "left").select("name", "n", "lines", F.array_sort(F.array_distinct(F.coalesce("parts", "words"))).alias("words"))
 
 
@@ -169,7 +204,8 @@ def candidate_pairs(cores: DataFrame, recall: float, similarity: float, rows: in
             k = [keys(list(w)) for w in pdf["words"]]
             yield pd.DataFrame({"core": np.repeat(pdf["core"].to_numpy(), [len(x) for x in k]), "band": [y for x in k for y in x]})
 
-    signed = cores.select("core", "words").mapInPandas(sign, "core string, band bigint")
+    # signing is work for the CPU: spread by core, however little there is to read
+    signed = cores.select("core", "words").repartition(int(cores.sparkSession.conf.get("spark.sql.shuffle.partitions")), "core").mapInPandas(sign, "core string, band bigint")
     return signed.select(F.col("core").alias("a"), "band").join(signed.select(F.col("core").alias("b"), "band"), "band").where("a < b").select("a", "b").distinct()
 
 
@@ -203,7 +239,7 @@ def star_clusters(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def name_variants(
-    rows: DataFrame, name: str = "company", threshold: float = 0.85, recall: float = 0.97, similarity: float = 0.4, band_rows: int = 3, stop: str = f"{LEGAL} {HIRING} {BUSINESS}"
+    rows: DataFrame, name: str = "company", threshold: float = 0.85, recall: float = 0.97, similarity: float = 0.4, band_rows: int = 3, stop: str = f"{LEGAL} {HIRING}", frequent: float = 0.01
 ) -> DataFrame:
     """``name, n, cluster``: every distinct spelling, its rows and its cluster.
 
@@ -212,17 +248,22 @@ def name_variants(
     - Nodes that share a MinHash band are compared by Monge-Elkan similarity;
       at least ``threshold`` links them. ``recall`` is the wanted chance that a
       pair with Jaccard ``similarity`` of q-grams becomes a candidate.
+    - ``stop`` words and words in at least ``frequent`` of the distinct names (lines
+      of business and the like, and what clips them) tell no names apart; names that
+      state different frequent words are no near spellings of each other.
     - Null and blank names are in no cluster. Names without any letter or digit
       are nodes of their own. Ties of priority go to the smaller spelling.
     - An empty table gives an empty result; repeated rows raise ``n`` only.
     """
-    stops = frozenset(stop.split())
     names = rows.select(F.col(name).alias("name")).where(F.trim("name") != "").groupBy("name").agg(F.count("*").alias("n"))
-    typed = materialise(words_of(names, stops).withColumn("core", F.when(F.size("words") > 0, F.array_join("words", " ")).otherwise(F.concat(F.lit("\u0001"), "name"))), "names")
+    names = materialise(names, "spellings")
+    generic = Generic(frozenset(stop.split()), frequent_words(names, frequent))
+    typed = materialise(words_of(names, generic).withColumn("core", F.when(F.size("words") > 0, F.array_join("words", " ")).otherwise(F.concat(F.lit("\u0001"), "name"))), "names")
     cores = typed.groupBy("core").agg(F.sum("n").alias("n"), F.first("words").alias("words"), F.array_distinct(F.flatten(F.collect_set("lines"))).alias("lines"))
     words = cores.select("core", "words", "lines")
     pairs = candidate_pairs(cores, recall, similarity, band_rows)
-    pairs = pairs.join(words.toDF("a", "a_words", "a_lines"), "a").join(words.toDF("b", "b_words", "b_lines"), "b")
+    # how large words and pairs get isn't known beforehand: neither is sent to all
+    pairs = pairs.join(words.toDF("a", "a_words", "a_lines").hint("shuffle_merge"), "a").join(words.toDF("b", "b_words", "b_lines").hint("shuffle_merge"), "b")
     # two different lines of business speak against near spellings
     pairs = pairs.where((F.size("a_lines") == 0) | (F.size("b_lines") == 0) | F.arrays_overlap("a_lines", "b_lines"))
 

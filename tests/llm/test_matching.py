@@ -9,13 +9,26 @@ def test_variants(spark):
     same = ["Gelsamfa Fotgelge Motors", "FOTGELGE & GELSAMFA MOTORS LTD", "Gelsam. Fötgelge Motors", "GelsamfaFotgelge Motors (Careers)", "gelsamfotgel motors", "Motors, Gelsamfa-Fotgelge", "Gelsamfa Fotgelge", "Gelsamfa Fotgegle Motors - Hiring Team"]
     other = ["Gelsamfa Firrurte Logistics", "Vorballo Gelrurpe Staffing"]
     df = spark.createDataFrame([(n, "x") for n in [*same * 3, *other, None, " ", "***"]], "company string, cluster string")
-    got = {r.name: r.cluster for r in names.name_variants(df).collect()}
+    stop = f"{names.LEGAL} {names.HIRING} motors logistics staffing"  # too few names to find frequent words
+    got = {r.name: r.cluster for r in names.name_variants(df, stop=stop).collect()}
     assert len({got[n] for n in same}) == 1 and len({got[n] for n in [*same, *other]}) == 3 and "***" in got and None not in got
-    pairs = names.variant_pairs(names.name_variants(df)).collect()
+    pairs = names.variant_pairs(names.name_variants(df, stop=stop)).collect()
     assert len(pairs) == len(same) * (len(same) - 1) // 2 and all(p.name_a.encode() < p.name_b.encode() for p in pairs)
     assert names.name_variants(df.limit(0)).count() == 0
 
 
+def test_frequent_words_are_found(spark):
+    parts = [f"{a}{b}{c}o" for a in ("bal", "ten", "vix", "sor") for b in ("lum", "nis", "gor") for c in ("t", "r", "m")]
+    rows = [(f"{parts[k % 36].title()} {parts[(k * 7 + 5) % 36].title()} {line}{form}",) for k in range(36) for line in ("Foods", "Software Works", "Insurance") for form in ("", " Ltd")]
+    rows += [("Ballumto Nothere Fds",), ("3M",), ("GE Health",)]
+    df = spark.createDataFrame(rows, "name string").distinct()
+    found = names.frequent_words(df, 0.05)
+    assert found == {"foods", "software", "works", "insurance", "ltd"} | {w for w in found if w in parts} and not {"3m", "ge"} & found
+    g = names.Generic(frozenset(["ltd"]), frozenset(["foods", "software", "works"]))
+    assert g.lines("sw") == ["software"] and g.lines("fds") == ["foods"] and g.lines("ltd") == [] and "ltd" in g and "ge" not in g and "ballumto" not in g
+    assert names.words_in("Ab S/W & Co. (HR)") == ["ab", "sw", "co"] and names.proper_words(["3m"], g) == ["3m"] and names.proper_words(["foods", "ltd"], g) == ["foods", "ltd"]
+
+
 def test_curve_and_similarity():
     b = names.bands_for(0.4, 0.97, 3)
     assert 1 - (1 - 0.4**3) ** b >= 0.97 > 1 - (1 - 0.4**3) ** (b - 1)
