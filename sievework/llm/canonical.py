@@ -30,6 +30,8 @@ COUNTRY_ALIASES = {
 }
 #: Office hours are no country.
 NOT_PLACES = r"\b(?:\d+ )?days? (?:a|per) week\b|\b(?:\d+ days? )?in (?:the )?office\b"
+#: Letters for each edit that is taken for a slip, and of a word that may have any.
+PER_EDIT, LEAST_EDITED = 5, 4
 LEVELS = ("junior", "senior", "lead", "principal")
 
 
@@ -108,13 +110,17 @@ def repaired(tokens: DataFrame, ref: Reference) -> DataFrame:
     def variants(s: pd.Series) -> pd.Series:
         return s.map(deletions)
 
-    hit = tokens.select("token", F.explode(variants("token")).alias("variant")).join(near, "variant").select("token", "v", "stands").distinct()
+    # leaving out letters is work for the CPU: spread by token, however little there is to read
+    spread = tokens.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("token"))
+    hit = spread.select("token", F.explode(variants("token")).alias("variant")).join(near, "variant").select("token", "v", "stands").distinct()
     lev = F.levenshtein("token", "v")
     letters = lambda c: F.array_sort(F.split(c, ""))
     swapped = (lev == 2) & (F.length("token") == F.length("v")) & (letters(F.col("token")) == letters(F.col("v")))
     longest = F.greatest(F.length("token"), F.length("v"))
     edits = F.when(swapped, 1).when((lev == 3) & (F.length("token") == F.length("v")), 2).otherwise(lev)  # a transposition is one edit
-    hit = hit.where((edits == 0) | ((longest >= 4) & (edits == 1)) | ((longest >= 7) & (edits == 2))).select("token", "stands", (1 - edits / longest).alias("sim"))
+    # one edit, and another for every further PER_EDIT letters; very short words have no room for any
+    allowed = F.when(longest < LEAST_EDITED, 0).otherwise(F.greatest(F.lit(1), F.floor(longest / PER_EDIT)))
+    hit = hit.where(edits <= allowed).select("token", "stands", (1 - edits / longest).alias("sim"))
     if ref.beginnings:
         plain = [w for w in ref.idf if len(w) > 3]
         starts = _rows(spark, [(w[:k], w) for w in plain for k in range(3, len(w))], "token string, w string")

@@ -205,7 +205,7 @@ def candidate_pairs(cores: DataFrame, recall: float, similarity: float, rows: in
             yield pd.DataFrame({"core": np.repeat(pdf["core"].to_numpy(), [len(x) for x in k]), "band": [y for x in k for y in x]})
 
     # signing is work for the CPU: spread by core, however little there is to read
-    signed = cores.select("core", "words").repartition(int(cores.sparkSession.conf.get("spark.sql.shuffle.partitions")), "core").mapInPandas(sign, "core string, band bigint")
+    signed = cores.select("core", "words").repartition(int(cores.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("core")).mapInPandas(sign, "core string, band bigint")
     return signed.select(F.col("core").alias("a"), "band").join(signed.select(F.col("core").alias("b"), "band"), "band").where("a < b").select("a", "b").distinct()
 
 
