@@ -23,17 +23,13 @@ from ..session import materialise
 BUCKETS = 4096
 
 
-def token_counts(texts: DataFrame, vocabulary: str, pattern: str | None = None) -> DataFrame:
-    """``texts`` with ``tokens``, by a byte-level BPE whose ranks lie in the file ``vocabulary``.
+def token_counts(texts: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
+    """``texts`` with ``tokens``, by a byte-level BPE whose ranks lie in the file ``vocabulary`` and whose ``pattern`` cuts texts into pieces.
 
     The file is read here and sent to the workers, which need not have it.
     """
     with open(vocabulary, "rb") as f:
         data = f.read()
-    if pattern is None:
-        import public_tokenizers
-
-        pattern = public_tokenizers.PATTERN
     sent = texts.sparkSession.sparkContext.broadcast(data)  # one vocabulary file, of fixed size
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -133,7 +129,7 @@ def plan(patterns: list[tuple[tuple[str, ...], int]], targets: list[tuple[str, f
     return low, route(low)[1]
 
 
-def mixture(documents: DataFrame, targets: DataFrame, vocabulary: str, seed: int = 17, total: int | None = None, id_col: str = "doc_id", most_patterns: int = 10_000) -> tuple[DataFrame, DataFrame]:
+def mixture(documents: DataFrame, targets: DataFrame, vocabulary: str, pattern: str, seed: int = 17, total: int | None = None, id_col: str = "doc_id", most_patterns: int = 10_000) -> tuple[DataFrame, DataFrame]:
     """The mixture and the shares that it reaches.
 
     ``doc_id, source, tokens, copies``: the documents used, for which source and
@@ -151,7 +147,7 @@ def mixture(documents: DataFrame, targets: DataFrame, vocabulary: str, seed: int
     goal = [(r.source, float(r.target_share), int(r.max_repeats)) for r in targets.where("source is not null").select("source", "target_share", "max_repeats").orderBy("source").collect()]  # a row per source
     docs = documents.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), "source", "text").where("text != ''").where(F.col("source").isin(*[s for s, _, _ in goal]))
     docs = docs.select("doc_id", "source", F.xxhash64("text").alias("h1"), F.xxhash64("text", F.lit(seed)).alias("h2"), "text")
-    counted = materialise(token_counts(docs, vocabulary), "counted")
+    counted = materialise(token_counts(docs, vocabulary, pattern), "counted")
     per_source = counted.groupBy("h2", "h1", "source").agg(F.min("doc_id").alias("doc_id"), F.max("tokens").alias("tokens"))
     texts = per_source.groupBy("h2", "h1").agg(F.array_sort(F.collect_set("source")).alias("pattern"), F.max("tokens").alias("tokens")).where("tokens > 0")
     texts = materialise(texts.withColumn("bucket", F.shiftrightunsigned("h2", 64 - BUCKETS.bit_length() + 1)), "texts")

@@ -86,12 +86,10 @@ def p6_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(learned, "source string, accuracy double, copied_from string, dependence double")
 
 
-def _mixture(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> tuple[DataFrame, DataFrame]:
-    if vocabulary is None:
-        import public_tokenizers
+def _mixture(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    import public_tokenizers  # where this machine keeps vocabularies; the operator takes any
 
-        vocabulary = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    return mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"), vocabulary)
+    return mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 def p9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,7 +113,7 @@ def _words(c: str) -> str:
 
 _P6_WORDS = _words("description")
 
-# The others have none: they rest on fitted or learned values (4, 5, 6's fusion, 10), on a flow (9), or go row by row through a history (7).
+# The others have none: they rest on fitted or learned values (4, 5, 6's fusion, 10) or on a flow (9).
 # They are tested against brute force and fixtures.
 ORACLES: dict[str, str] = {
     "p3_found": f"""
@@ -132,6 +130,18 @@ o AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS o FROM s a JOIN s b ON a.g
 p AS MATERIALIZED (SELECT id_a, id_b FROM o JOIN c a ON a.id = id_a JOIN c b ON b.id = id_b WHERE o * 10 >= 6 * (a.n + b.n - o)),
 r AS (SELECT id, id AS root FROM c UNION SELECT p.id_b, r.root FROM r JOIN p ON p.id_a = r.id)
 SELECT r.id, min(root) AS group_id, (SELECT count(*) FROM p WHERE p.id_a = r.id) AS n_links FROM r GROUP BY r.id""",
+    "p7_found": f"""
+WITH RECURSIVE x AS (SELECT -id AS id, title, company, description, fingerprint, content_hash FROM jobs WHERE id IS NOT NULL UNION ALL SELECT incoming_id, title, company, description, fingerprint, content_hash FROM incoming_jobs WHERE incoming_id IS NOT NULL),
+w AS (SELECT id, list_concat(list_concat({_words('title')}, {_words('company')}), {_words('description')}) AS w, len({_words('description')}) AS n FROM x),
+s AS (SELECT DISTINCT id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT id, w, unnest(range(1, len(w) - 1)) AS i FROM w WHERE n >= 20) t),
+c AS (SELECT id, count(*) AS n FROM s GROUP BY id),
+o AS (SELECT a.id AS a, b.id AS b, count(*) AS o FROM s a JOIN s b ON a.g = b.g AND a.id > b.id AND a.id > 0 GROUP BY ALL),
+e AS (SELECT id, k, nullif(lower(regexp_replace(CASE k WHEN 1 THEN fingerprint ELSE content_hash END, '^\\s+|\\s+$', '', 'g')), '') AS v FROM x, (VALUES (1), (2)) k(k)),
+p AS (SELECT a, b FROM o JOIN c m ON m.id = a JOIN c n ON n.id = b WHERE o * 10 >= 6 * (m.n + n.n - o) UNION SELECT m.id, n.id FROM e m JOIN e n ON m.k = n.k AND m.v = n.v AND m.id > n.id AND m.id > 0),
+l AS MATERIALIZED (SELECT id, row_number() OVER (ORDER BY id) AS rn, coalesce((SELECT bool_or(b < 0) FROM p WHERE a = id), false) AS held, coalesce((SELECT list(b) FROM p WHERE a = id AND b > 0), []) AS before FROM x WHERE id > 0),
+-- row after row: a row is new unless jobs or an accepted row before it holds it
+r AS (SELECT 0::BIGINT AS rn, []::BIGINT[] AS accepted UNION ALL SELECT l.rn, CASE WHEN held OR list_has_any(before, accepted) THEN accepted ELSE list_append(accepted, id) END FROM r JOIN l ON l.rn = r.rn + 1)
+SELECT id AS incoming_id FROM l WHERE NOT list_contains((SELECT accepted FROM r ORDER BY rn DESC LIMIT 1), id)""",
     "p6_found": _P2 + f""", j AS (SELECT *, lower(regexp_replace(fingerprint, '^\\s+|\\s+$', '', 'g')) AS k, len({_P6_WORDS}) AS n_words FROM jobs),
 x AS (SELECT j.*, p.id IS NOT NULL AS paid, coalesce(b.trust_rank, 2147483647) AS r, coalesce(posted_at > TIMESTAMP '1970-01-01' AND posted_at <= last_seen_at, false) AS dated FROM j LEFT JOIN found p USING (id) LEFT JOIN boards b ON b.source = j.source WHERE k <> ''),
 m AS (SELECT k, min(id) AS group_id, count(*) AS n FROM x GROUP BY k HAVING count(*) > 1)

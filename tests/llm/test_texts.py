@@ -48,14 +48,20 @@ def test_mixture(spark):
     docs += [(900, "a", docs[210][2]), (901, "b", None), (902, None, "x"), (903, "b", "")]
     d = spark.createDataFrame([(*x, 1) for x in docs], "doc_id bigint, source string, text string, tokens int")
     goal = spark.createDataFrame([("a", 0.6, 1), ("b", 0.3, 3), ("none", 0.1, 2)], "source string, target_share double, max_repeats int")
-    mixed, shares = mixing.mixture(d, goal, P.path("byte_bpe_50k.tiktoken"))
+    mixed, shares = mixing.mixture(d, goal, P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
     rows = mixed.collect()
     caps = {"a": 1, "b": 3}
     assert rows and all(1 <= x.copies <= caps[x.source] for x in rows) and len({(x.doc_id, x.source) for x in rows}) == len(rows)
     s = {x.source: x for x in shares.collect()}
+    # a text that several sources hold is used no more often in all than the most generous of them allows
+    used = {}
+    for x in rows:
+        held = next(t for k, _, t in docs if k == x.doc_id)
+        used[held] = used.get(held, 0) + x.copies
+    assert max(used.values()) <= 3
     assert abs(s["a"].reached_share - 2 / 3) < 0.05 and abs(s["b"].reached_share - 1 / 3) < 0.05 and s["none"].mixed_tokens == 0
-    assert {tuple(x) for x in mixing.mixture(d.repartition(7), goal, P.path("byte_bpe_50k.tiktoken"))[0].collect()} == {tuple(x) for x in rows}
-    empty, none = mixing.mixture(d.limit(0), goal, P.path("byte_bpe_50k.tiktoken"))
+    assert {tuple(x) for x in mixing.mixture(d.repartition(7), goal, P.path("byte_bpe_50k.tiktoken"), P.PATTERN)[0].collect()} == {tuple(x) for x in rows}
+    empty, none = mixing.mixture(d.limit(0), goal, P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
     assert empty.count() == 0 and {x.mixed_tokens for x in none.collect()} == {0}
 
 
