@@ -20,9 +20,14 @@ def latest(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 
 
 def first_by(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """The first row of each key in the given order."""
-    w = W.partitionBy(*keys).orderBy(*order)
-    return rows.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+    """The first row of each key in the given order, ascending, nulls first.
+
+    A partial aggregate, so a hot key is reduced before the shuffle; rows of equal
+    order are taken at random.
+    """
+    rest = [c for c in rows.columns if c not in keys]
+    m = rows.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_m"))
+    return m.select(*keys, "_m.*").select(*rows.columns)
 
 
 def upsert(stored: DataFrame, incoming: DataFrame, keys: list[str], state: str, keep: list[str]) -> DataFrame:

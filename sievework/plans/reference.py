@@ -303,14 +303,38 @@ def _dedupe(t) -> tuple[DataFrame, DataFrame]:
     return greedy.greedy_dedupe(t("jobs"), "id", exact, [fn.normalize_company(F.col("company")), fn.normalize_key(F.col("location"))], fn.normalize_title(F.col("title")), 0.9, _rich(), "first_seen_at", occupants=True)
 
 
-@query(None)
+# one row after the other: founders of slots, their occupants and the occupants' richness as lists, and what was dropped
+_DEDUPE = f"""
+WITH RECURSIVE x AS MATERIALIZED (SELECT id, first_seen_at, ({_RICH})::BIGINT AS rich, CASE WHEN external_id IS NOT NULL THEN concat_ws('::', source, upper(trim(external_id))) END AS k1, nullif({_URL}, '') AS k2, nullif(lower(trim(fingerprint)), '') AS k3,
+ {_sql_company('company')} AS c, {_KEY.format('location')} AS l, string_split({_sql_title('title')}, ' ') AS t FROM {_WITH_Q}),
+k AS (SELECT id, 1 AS layer, k1 AS v FROM x UNION ALL SELECT id, 2, k2 FROM x UNION ALL SELECT id, 3, k3 FROM x),
+e AS (SELECT a.id, list(struct_pack(layer := a.layer, j := b.id) ORDER BY a.layer, b.id) AS exact FROM k a JOIN k b ON a.layer = b.layer AND a.v = b.v AND b.id < a.id GROUP BY a.id),
+d AS (SELECT id, c, l, list_distinct(list_filter(t, lambda w: w <> '')) AS w FROM x),
+f AS (SELECT a.id, b.id AS j, len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w)))::DOUBLE AS sim FROM d a JOIN d b ON a.c = b.c AND a.l = b.l AND b.id < a.id WHERE len(a.w) > 0 AND len(b.w) > 0),
+g AS (SELECT id, list(struct_pack(far := -sim, j := j)) AS near FROM f WHERE sim >= 0.9 GROUP BY id),
+n AS MATERIALIZED (SELECT x.id, rich, row_number() OVER (ORDER BY x.id) AS rn, coalesce(exact, []) AS exact, coalesce(near, []) AS near FROM x LEFT JOIN e USING (id) LEFT JOIN g USING (id)),
+r AS (
+ SELECT 0::BIGINT AS rn, []::BIGINT[] AS founders, []::BIGINT[] AS occupants, []::BIGINT[] AS rich, NULL::STRUCT(id BIGINT, founder BIGINT, layer INTEGER, sim DOUBLE) AS told
+ UNION ALL
+ SELECT rn, CASE WHEN slot IS NULL THEN list_append(founders, id) ELSE founders END, CASE WHEN slot IS NULL THEN list_append(occupants, id) WHEN mine > rich[slot] THEN list_concat(occupants[:slot - 1], list_concat([id], occupants[slot + 1:])) ELSE occupants END,
+ CASE WHEN slot IS NULL THEN list_append(rich, mine) WHEN mine > rich[slot] THEN list_concat(rich[:slot - 1], list_concat([mine], rich[slot + 1:])) ELSE rich END,
+ CASE WHEN slot IS NOT NULL THEN struct_pack(id := id, founder := founders[slot], layer := coalesce(hit.layer, 4), sim := CASE WHEN hit IS NULL THEN -best.far ELSE 1.0 END) END
+ FROM (SELECT *, coalesce(list_position(founders, hit.j), best.slot) AS slot FROM (
+  SELECT n.rn, n.id, n.rich AS mine, r.founders, r.occupants, r.rich, list_filter(n.exact, lambda y: list_contains(r.founders, y.j))[1] AS hit,
+  list_min(list_transform(list_filter(n.near, lambda y: list_contains(r.occupants, y.j)), lambda y: struct_pack(far := y.far, slot := list_position(r.occupants, y.j)))) AS best FROM r JOIN n ON n.rn = r.rn + 1))),
+dropped AS (SELECT told.id AS id, told.founder AS founder, ['EXTERNAL_ID', 'URL', 'FINGERPRINT', 'FUZZY'][told.layer] AS strategy, told.sim AS similarity FROM r WHERE told IS NOT NULL)
+"""
+
+
+@query(_DEDUPE + """, slots AS (SELECT x.id, coalesce(d.founder, x.id) AS founder, rich, first_seen_at FROM x LEFT JOIN dropped d USING (id))
+ SELECT founder, arg_min(id, struct_pack(a := -rich, b := id)) AS survivor, min(first_seen_at) AS first_seen, count(*) AS n_rows FROM slots GROUP BY founder""")
 def dedupe_survivors(t) -> DataFrame:
     return _dedupe(t)[0]
 
 
-@query(None)
+@query(_DEDUPE + "SELECT id, founder, strategy, round(similarity, 9) AS similarity FROM dropped")
 def dedupe_dropped(t) -> DataFrame:
-    return _dedupe(t)[1]
+    return _dedupe(t)[1].withColumn("similarity", F.round("similarity", 9))
 
 
 @query(f"SELECT h, n, first_id FROM (SELECT sha256({_KEY.format('text')}) AS h, count(*) AS n, min(doc_id) AS first_id FROM documents GROUP BY 1) WHERE n > 1")
