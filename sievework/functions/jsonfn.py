@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -49,12 +51,16 @@ def extract_json(c: Column) -> Column:
     return scan(F.regexp_replace(c, r"(?is)<think>.*?</think>|<\|[^|>]*\|>", " "))
 
 
-def parsed(c: Column, schema: str) -> Column:
-    """struct<value, stage>: the parsed value, or the stage that failed (extract, json, schema)."""
+def parsed(c: Column, schema: str, valid: Callable[[Column], Column] | None = None) -> Column:
+    """struct<value, stage>: the parsed value, or the stage that failed (extract, json, schema).
+
+    ``valid``, a condition on the value (ranges, enumerations), belongs to the schema.
+    """
     text = extract_json(c)
     value = F.from_json(text, schema)
     bad = F.try_parse_json(text).isNull()
-    stage = F.when(text.isNull(), "extract").when(bad, "json").when(value.isNull(), "schema")
+    broken = value.isNull() if valid is None else value.isNull() | ~F.coalesce(valid(value), F.lit(False))
+    stage = F.when(text.isNull(), "extract").when(bad, "json").when(broken, "schema")
     return F.struct(F.when(stage.isNull(), value).alias("value"), stage.alias("stage"))
 
 

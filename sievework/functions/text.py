@@ -31,6 +31,8 @@ SECRET_PATTERNS = [
     r"(?i)Bearer\s+[A-Za-z0-9._-]{12,}",
     r"(?i)\b[a-z][a-z0-9+.-]*://[^/\s:@]+:[^/\s@]+@",
 ]
+# Ranks of log levels.
+LOG_LEVELS = {"debug": 10, "info": 20, "warn": 30, "error": 40}
 # Tags that end a line, and entities with their characters.
 BLOCK_TAGS = "p div br li tr h[1-6] section article ul ol table".split()
 ENTITIES = (("&nbsp;", " "), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"))
@@ -186,6 +188,12 @@ def redact(c: Column) -> Column:
     return c
 
 
+def level_at_least(level: Column, least: str) -> Column:
+    """Whether a log line of a level is shown; unknown levels aren't."""
+    known = F.create_map(*[F.lit(x) for pair in LOG_LEVELS.items() for x in pair])
+    return F.coalesce(F.try_element_at(known, F.lower(level)) >= LOG_LEVELS[least], F.lit(False))
+
+
 def estimated_tokens(c: Column) -> Column:
     return F.greatest(F.lit(1), F.ceil(F.length(c) / 4)).cast("bigint")
 

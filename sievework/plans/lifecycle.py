@@ -227,6 +227,21 @@ def cached_first(t) -> DataFrame:
     return keyed.ranked_in_order(x.select("id", (~F.col("hit")).alias("fresh")), ["fresh", "id"]).select("id", "pos")
 
 
+@query("SELECT id, CASE WHEN recommendation IN ('APPLY', 'CONSIDER') AND score BETWEEN 50 AND 90 THEN score END AS score, CASE WHEN recommendation IN ('APPLY', 'CONSIDER') AND score BETWEEN 50 AND 90 THEN NULL ELSE 'schema' END AS stage FROM job_evaluations")
+def checked_answers(t) -> DataFrame:
+    """Answers as a model gives them, of which only those within range and list are taken."""
+    answer = F.concat(F.lit("Here you are: "), F.to_json(F.struct("score", "recommendation")), F.lit(" - done"))
+    p = jsonfn.parsed(answer, "score double, recommendation string", lambda v: v["score"].between(50, 90) & v["recommendation"].isin("APPLY", "CONSIDER"))
+    return t("job_evaluations").select("id", p.alias("p")).select("id", "p.value.score", "p.stage")
+
+
+@query("SELECT event_id FROM events WHERE event_type IN ('error', 'purchase')")
+def shown_events(t) -> DataFrame:
+    kind = F.col("event_type")
+    level = F.when(kind == "error", "ERROR").when(kind == "purchase", "warn").when(kind == "view", "debug").when(kind == "click", "info")
+    return t("events").where(fn.level_at_least(level, "warn")).select("event_id")
+
+
 # ---- reports
 
 
