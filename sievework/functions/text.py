@@ -79,8 +79,8 @@ def fold_accents(c: Column) -> Column:
     flat = F.translate(c, _FROM, _TO)
     known = F.create_map(*[F.lit(x) for pair in _SEVERAL.items() for x in pair])
     apart = F.array_join(F.transform(F.split(flat, ""), lambda x: F.coalesce(F.try_element_at(known, x), x)), "")
-    some = "[" + "".join(f"\\u{ord(x):04X}" for x in _SEVERAL) + "]"
-    return F.regexp_replace(F.when(flat.rlike(some), apart).otherwise(flat), "[\u0300-\u036f]", "")
+    some = flat.rlike(r"[^\x00-\x7F]") & (F.length(F.translate(flat, "".join(_SEVERAL), "")) < F.length(flat))
+    return F.regexp_replace(F.when(some, apart).otherwise(flat), "[\u0300-\u036f]", "")
 
 
 def normalize_key(c: Column) -> Column:
