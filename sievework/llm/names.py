@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialise
+from ..session import materialise, merged
 
 # Legal forms, and words around hiring, which tell no names apart. Further such words are found by their frequency.
 LEGAL = "ltd limited inc incorporated llc llp corp corporation co company gmbh ag plc pvt private pte sa the and"
@@ -192,7 +192,7 @@ def words_of(names: DataFrame, generic: Generic) -> DataFrame:
         (-F.abs(F.length("l") - F.length("r"))).alias("even"), F.col("l"), F.col("r"),
     )
     best = cuts.groupBy("name").agg(F.max(rank).alias("best")).where(f"best.known > 0 or length(best.l) + length(best.r) > {2 * LEAST_KEPT + 2}").select("name", F.array("best.l", "best.r").alias("parts"))
-    return typed.join(best, "name", "left").select("name", "n", "lines", F.array_sort(F.array_distinct(F.coalesce("parts", "words"))).alias("words"))
+    return typed.join(merged(best), "name", "left").select("name", "n", "lines", F.array_sort(F.array_distinct(F.coalesce("parts", "words"))).alias("words"))
 
 
 def candidate_pairs(cores: DataFrame, recall: float, similarity: float, rows: int) -> DataFrame:
@@ -206,7 +206,8 @@ def candidate_pairs(cores: DataFrame, recall: float, similarity: float, rows: in
 
     # signing is work for the CPU: spread by core, however little there is to read
     signed = cores.select("core", "words").repartition(int(cores.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("core")).mapInPandas(sign, "core string, band bigint")
-    return signed.select(F.col("core").alias("a"), "band").join(signed.select(F.col("core").alias("b"), "band"), "band").where("a < b").select("a", "b").distinct()
+    # a core of a few letters becomes as many rows as there are bands
+    return merged(signed.select(F.col("core").alias("a"), "band")).join(merged(signed.select(F.col("core").alias("b"), "band")), "band").where("a < b").select("a", "b").distinct()
 
 
 def star_clusters(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -219,19 +220,19 @@ def star_clusters(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """
     both = materialise(edges.select(F.col("a").alias("v"), F.col("b").alias("u"), "sim").union(edges.select("b", "a", "sim")), "edges")
     linked = both.select("v").distinct()
-    done = nodes.join(linked, "v", "left_anti").select("v", F.col("v").alias("center"))
-    open_ = materialise(nodes.join(linked, "v", "left_semi").select("v", "prio"), "open")
+    done = nodes.join(merged(linked), "v", "left_anti").select("v", F.col("v").alias("center"))
+    open_ = materialise(nodes.join(merged(linked), "v", "left_semi").select("v", "prio"), "open")
     parts = [done]
     while open_.limit(1).count():
-        live = both.join(open_.select(F.col("v").alias("u"), F.col("prio").alias("u_prio")), "u").join(open_, "v")
-        top = open_.join(live.groupBy("v").agg(F.max("u_prio").alias("best")), "v", "left")
+        live = both.join(merged(open_.select(F.col("v").alias("u"), F.col("prio").alias("u_prio"))), "u").join(merged(open_), "v")
+        top = open_.join(merged(live.groupBy("v").agg(F.max("u_prio").alias("best"))), "v", "left")
         centers = top.where(F.col("best").isNull() | (F.col("prio") > F.col("best"))).select("v", "prio")
         sats = (
-            live.join(centers.select(F.col("v").alias("u")), "u").groupBy("v").agg(F.max(F.struct("sim", "u_prio", "u")).alias("m")).select("v", F.col("m.u").alias("center"))
+            live.join(merged(centers.select(F.col("v").alias("u"))), "u").groupBy("v").agg(F.max(F.struct("sim", "u_prio", "u")).alias("m")).select("v", F.col("m.u").alias("center"))
         )
         marked = materialise(centers.select("v", F.col("v").alias("center")).union(sats), "marked")
         parts.append(marked)
-        open_ = materialise(open_.join(marked.select("v"), "v", "left_anti"), "open")
+        open_ = materialise(open_.join(merged(marked.select("v")), "v", "left_anti"), "open")
     out = parts[0]
     for p in parts[1:]:
         out = out.union(p)
@@ -263,7 +264,7 @@ def name_variants(
     words = cores.select("core", "words", "lines")
     pairs = candidate_pairs(cores, recall, similarity, band_rows)
     # how large words and pairs get isn't known beforehand: neither is sent to all
-    pairs = pairs.join(words.toDF("a", "a_words", "a_lines").hint("shuffle_merge"), "a").join(words.toDF("b", "b_words", "b_lines").hint("shuffle_merge"), "b")
+    pairs = pairs.join(merged(words.toDF("a", "a_words", "a_lines")), "a").join(merged(words.toDF("b", "b_words", "b_lines")), "b")
     # two different lines of business speak against near spellings
     pairs = pairs.where((F.size("a_lines") == 0) | (F.size("b_lines") == 0) | F.arrays_overlap("a_lines", "b_lines"))
 
@@ -274,10 +275,10 @@ def name_variants(
     edges = materialise(pairs.withColumn("sim", similar("a_words", "b_words")).where(F.col("sim") >= threshold).select("a", "b", "sim"), "links")
     nodes = cores.select(F.col("core").alias("v"), F.struct("n", F.col("core").alias("k")).alias("prio"))
     stars = star_clusters(nodes, edges)
-    return typed.join(stars.select(F.col("v").alias("core"), F.col("center").alias("cluster")), "core").select("name", "n", "cluster")
+    return merged(typed).join(merged(stars.select(F.col("v").alias("core"), F.col("center").alias("cluster"))), "core").select("name", "n", "cluster")
 
 
 def variant_pairs(variants: DataFrame) -> DataFrame:
     """``name_a, name_b``: each two spellings of a cluster, smaller first by UTF-8 bytes."""
     v = materialise(variants.select("name", "cluster"), "variants")
-    return v.select(F.col("name").alias("name_a"), "cluster").join(v.select(F.col("name").alias("name_b"), "cluster"), "cluster").where("name_a < name_b").select("name_a", "name_b")
+    return merged(v.select(F.col("name").alias("name_a"), "cluster")).join(merged(v.select(F.col("name").alias("name_b"), "cluster")), "cluster").where("name_a < name_b").select("name_a", "name_b")

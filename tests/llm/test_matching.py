@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 
 from sievework.llm import names
 from sievework.llm.canonical import canonical_fields
@@ -108,3 +109,29 @@ def test_fusion_takes_near_equal_texts_for_one(spark):
     got = fused_values(claims)[0].first()
     assert (got.value, got.id) == (10, 0) and got.probability > 0.9
     assert fused_values(claims.limit(0))[0].count() == 0
+
+
+def sent_rows(spark, job):
+    """The most rows that a step of the job sends to every worker."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    job()
+    most = 0
+    for k in range(before, store.executionsCount()):
+        number = store.executionsList(k, 1).head().executionId()
+        values = store.executionMetrics(number)
+        nodes = store.planGraph(number).allNodes()
+        for node in (nodes.apply(i) for i in range(nodes.size())):
+            if node.name().startswith("BroadcastExchange"):
+                for m in (node.metrics().apply(i) for i in range(node.metrics().size())):
+                    if m.name() == "number of output rows" and values.contains(m.accumulatorId()):
+                        most = max(most, int(values.apply(m.accumulatorId()).replace(",", "")))
+    return most
+
+
+def test_variants_send_no_bands(spark):
+    r = random.Random(4)
+    word = lambda: "".join(r.choice("bdfgklmnprstv") + r.choice("aeiou") for _ in range(4))
+    df = spark.createDataFrame([(f"{word()} {word()}",) for _ in range(400)], "company string").repartition(2)
+    # 54 rows of each name would be sent
+    assert sent_rows(spark, lambda: names.variant_pairs(names.name_variants(df)).collect()) < 4000
