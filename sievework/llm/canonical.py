@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialise
+from ..session import materialise, merged
 from .names import folded
 
 # Short forms that neither edit distance nor a beginning explains.
@@ -112,7 +112,8 @@ def repaired(tokens: DataFrame, ref: Reference) -> DataFrame:
 
     # leaving out letters is work for the CPU: spread by token, however little there is to read
     spread = tokens.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("token"))
-    hit = spread.select("token", F.explode(variants("token")).alias("variant")).join(near, "variant").select("token", "v", "stands").distinct()
+    # a token becomes as many rows as letters can be left out of it
+    hit = merged(spread.select("token", F.explode(variants("token")).alias("variant"))).join(merged(near), "variant").select("token", "v", "stands").distinct()
     lev = F.levenshtein("token", "v")
     letters = lambda c: F.array_sort(F.split(c, ""))
     swapped = (lev == 2) & (F.length("token") == F.length("v")) & (letters(F.col("token")) == letters(F.col("v")))
@@ -160,23 +161,23 @@ def map_values(values: DataFrame, ref: Reference, least: float = 0.7) -> DataFra
     held = typed.select("value", F.explode("tokens").alias("token"))
     fixed = repaired(held.select("token").distinct(), ref)
     weights = _rows(spark, list(ref.idf.items()), "word string, idf double")
-    met = held.join(fixed, "token").groupBy("value", "word").agg(F.max("sim").alias("sim")).join(weights, "word")
+    met = merged(held).join(merged(fixed), "token").groupBy("value", "word").agg(F.max("sim").alias("sim")).join(F.broadcast(weights), "word")
     met = materialise(met, "met")
     need = _rows(spark, [(k, ref_id, w, len(set(req)), sorted(set(q))) for k, (ref_id, req, q) in enumerate(ref.entries) for w in sorted(set(req))], "entry int, ref_id bigint, word string, n_req int, quals array<string>")
-    cover = met.where(F.col("sim") >= least).join(need, "word").groupBy("value", "entry", "ref_id", "n_req", "quals").agg(F.count("*").alias("n"), F.sum(F.col("sim") * F.col("idf") ** 2).alias("dot"), F.sum(F.col("idf") ** 2).alias("norm")).where("n = n_req")
+    cover = met.where(F.col("sim") >= least).join(F.broadcast(need), "word").groupBy("value", "entry", "ref_id", "n_req", "quals").agg(F.count("*").alias("n"), F.sum(F.col("sim") * F.col("idf") ** 2).alias("dot"), F.sum(F.col("idf") ** 2).alias("norm")).where("n = n_req")
     of_value = met.groupBy("value").agg(
         F.sum(F.col("sim") ** 2 * F.col("idf") ** 2).alias("v_norm"),
         F.map_from_entries(F.collect_list(F.when(F.col("word").isin(*sorted(quals)) if quals else F.lit(False), F.struct("word", F.struct("sim", "idf"))))).alias("said"),
     )
     idf = F.create_map(*[F.lit(x) for w in sorted(quals) for x in (w, ref.idf[w])]) if quals else F.create_map(F.lit(""), F.lit(0.0))
-    scored = cover.join(of_value, "value")
+    scored = merged(cover).join(merged(of_value), "value")
     against = (F.size("said") > 0) & (F.size("quals") > 0) & ~F.arrays_overlap(F.map_keys("said"), "quals")
     zero = F.lit(0.0)
     q_dot = F.aggregate("quals", zero, lambda s, w: s + F.coalesce(F.try_element_at("said", w)["sim"], zero) * F.try_element_at(idf, w) ** 2)
     q_norm = F.aggregate("quals", zero, lambda s, w: s + F.try_element_at(idf, w) ** 2)
     scored = scored.where(~against).withColumn("score", (F.col("dot") + q_dot) / F.sqrt(F.col("v_norm") * (F.col("norm") + q_norm)))
     best = scored.groupBy("value").agg(F.max(F.struct(F.round("score", 9).alias("score"), (-F.col("ref_id")).alias("r"))).alias("m"))
-    return typed.select("value").join(best, "value", "left").select("value", F.coalesce(-F.col("m.r"), F.lit(0)).cast("bigint").alias("ref_id"), F.coalesce("m.score", zero).alias("score"))
+    return typed.select("value").join(merged(best), "value", "left").select("value", F.coalesce(-F.col("m.r"), F.lit(0)).cast("bigint").alias("ref_id"), F.coalesce("m.score", zero).alias("score"))
 
 
 def canonical_fields(jobs: DataFrame, ref_titles: DataFrame, ref_locations: DataFrame) -> DataFrame:
@@ -185,5 +186,5 @@ def canonical_fields(jobs: DataFrame, ref_titles: DataFrame, ref_locations: Data
     parts = []
     for field, ref, stored in (("title", title_reference(ref_titles), ref_titles.select(F.col("title").alias("value"))), ("location", location_reference(ref_locations), ref_locations.select(F.col("label").alias("value")))):
         open_ = jobs.select("id", F.col(field).alias("value")).where("value is not null").join(stored.where("value is not null").distinct(), "value", "left_anti")
-        parts.append(open_.join(map_values(open_, ref), "value").select("id", F.lit(field).alias("field_name"), "ref_id"))
+        parts.append(merged(open_).join(merged(map_values(open_, ref)), "value").select("id", F.lit(field).alias("field_name"), "ref_id"))
     return parts[0].union(parts[1])

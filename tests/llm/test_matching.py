@@ -135,3 +135,13 @@ def test_variants_send_no_bands(spark):
     df = spark.createDataFrame([(f"{word()} {word()}",) for _ in range(400)], "company string").repartition(2)
     # 54 rows of each name would be sent
     assert sent_rows(spark, lambda: names.variant_pairs(names.name_variants(df)).collect()) < 4000
+
+
+def test_canonical_sends_no_values(spark):
+    r = random.Random(5)
+    words = ["".join(r.choice("abcdefghijklmnopqrst") for _ in range(9)) for _ in range(60)]
+    df = spark.createDataFrame([(60 * k + j, f"{a} {b}", None) for k, a in enumerate(words) for j, b in enumerate(words)], "id bigint, title string, location string")
+    ref_t = spark.createDataFrame([(1, "Data Engineer"), (2, "Senior Gardener")], "ref_id bigint, title string")
+    ref_l = spark.createDataFrame([(1, "Pune, India", "Pune", "India", None)], "ref_id bigint, label string, city string, country string, also_known_as array<string>")
+    # 10,800 tokens of 3,600 values would be sent, and the variants of each
+    assert sent_rows(spark, lambda: canonical_fields(df, ref_t, ref_l).collect()) < 5000
