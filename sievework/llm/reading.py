@@ -10,7 +10,7 @@ what its sentences add; the cuts between bands lie where levels are rarest.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -29,6 +29,8 @@ CUTS = ((5.0, 8.0, 7.0), (10.5, 13.5, 12.0))
 STEP, LOWEST, HIGHEST = 0.1, -10.0, 60.0
 #: Pieces of at most so many words (headings, parts of addresses) are no sentences.
 FRAGMENT_WORDS = 3
+#: Numbers of a vector that are summed together.
+PIECE = 1 << 14
 
 
 def pieces(text: Column) -> Column:
@@ -102,36 +104,70 @@ def _coded(vocabulary: np.ndarray):
     return code
 
 
-def fitted_grades(graded: pd.DataFrame, n: int, rounds: int = 60, ridge: float = 1e-3) -> tuple[np.ndarray, float, float]:
-    """The grade of each of n known words, what a word more in each sentence adds, and a constant: least squares over graded texts.
+def _totals(coded: DataFrame, n: int, vectors: Callable[[np.ndarray, np.ndarray, pa.RecordBatch], list[np.ndarray]], k: int) -> np.ndarray:
+    """Sums over all texts of k vectors of n numbers, added up in pieces: no worker and not the driver gathers more than a piece of each partition."""
 
-    ``graded``: codes, length, formula. Conjugate gradients on the normal
-    equations; texts without any known word don't count.
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        out = np.zeros(k * n)
+        for b in batches:
+            out += np.concatenate(vectors(*_flat(b.column("codes")), b))
+        rows = np.arange(-(-k * n // PIECE), dtype=np.int32)
+        where = np.full(len(rows), TaskContext.get().partitionId(), np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(where), pa.array([out[r * PIECE : (r + 1) * PIECE].tobytes() for r in rows], pa.binary())], ["piece", "part", "v"])
+
+    def summed(pdf: pd.DataFrame) -> pd.DataFrame:
+        total = np.sum([np.frombuffer(x) for x in pdf.sort_values("part")["v"]], axis=0)
+        return pdf.head(1)[["piece"]].assign(v=[total.tobytes()])
+
+    total = np.zeros(k * n)
+    for r in coded.mapInArrow(part, "piece int, part int, v binary").groupBy("piece").applyInPandas(summed, "piece int, v binary").collect():
+        total[r.piece * PIECE : (r.piece + 1) * PIECE] = np.frombuffer(r.v)
+    return total.reshape(k, n)
+
+
+def fitted_grades(coded: DataFrame, n: int, rounds: int = 60, ridge: float = 1e-3, close: float = 1e-10) -> tuple[np.ndarray, float, float]:
+    """The grade of each of n known words, what a word more in each sentence adds, and a constant: least squares over all graded texts.
+
+    ``coded``: codes, length, formula. Conjugate gradients on the normal
+    equations, each round one pass over the texts, until the squared residual has
+    fallen to ``close`` of its first; texts without any known word don't count.
     """
-    if not len(graded) or not n:
+    if not n:
         return np.zeros(n), 0.39, 0.0
-    at = np.concatenate([np.asarray(w, np.int64) for w in graded["codes"]])
-    text = np.repeat(np.arange(len(graded)), [len(w) for w in graded["codes"]])
-    share = 1.0 / np.maximum(np.bincount(text, minlength=len(graded)), 1)
-    used = np.bincount(text, minlength=len(graded)) > 0
-    y, length = np.where(used, graded["formula"].to_numpy(float), 0.0), np.where(used, graded["length"].to_numpy(float) / 10, 0.0)
-    one = used.astype(float)
 
-    def forward(v: np.ndarray) -> np.ndarray:
-        return np.bincount(text, weights=v[at], minlength=len(graded)) * share + v[n] * length + v[n + 1] * one
+    def laid(at: np.ndarray, off: np.ndarray, b: pa.RecordBatch):
+        held = np.diff(off)
+        used = held > 0
+        return np.repeat(np.arange(len(held)), held), 1.0 / np.maximum(held, 1), used.astype(float), np.where(used, b.column("length").to_numpy() / 10, 0.0)
+
+    def first(at: np.ndarray, off: np.ndarray, b: pa.RecordBatch) -> list[np.ndarray]:
+        text, share, one, length = laid(at, off, b)
+        y = np.where(one > 0, b.column("formula").to_numpy(), 0.0)
+        back = np.concatenate([np.bincount(at, weights=(y * share)[text], minlength=n), [y @ length, y.sum()]])
+        return [back, np.concatenate([np.bincount(at, weights=(share**2)[text], minlength=n), [length @ length, one.sum()]])]
 
-    def back(r: np.ndarray) -> np.ndarray:
-        return np.concatenate([np.bincount(at, weights=(r * share)[text], minlength=n), [r @ length, r @ one]])
+    def normal(v: np.ndarray) -> np.ndarray:
+        def there_and_back(at: np.ndarray, off: np.ndarray, b: pa.RecordBatch) -> list[np.ndarray]:
+            text, share, one, length = laid(at, off, b)
+            r = _sums(v[at], off) * share + v[n] * length + v[n + 1] * one
+            return [np.concatenate([np.bincount(at, weights=(r * share)[text], minlength=n), [r @ length, r @ one]])]
 
+        return _totals(coded, n + 2, there_and_back, 1)[0]
+
+    back, diagonal = _totals(coded, n + 2, first, 2)
+    if not diagonal[n + 1]:
+        return np.zeros(n), 0.39, 0.0
     v = np.zeros(n + 2)
-    r = back(y)
-    scale = 1.0 / np.sqrt(np.concatenate([np.bincount(at, weights=(share**2)[text], minlength=n) + ridge, [length @ length + ridge, one.sum() + ridge]]))
-    r = r * scale
+    scale = 1.0 / np.sqrt(diagonal + ridge)
+    r = back * scale
     p, rr = r.copy(), r @ r
+    enough = max(1e-12, close * rr)
     for _ in range(rounds):
-        if rr < 1e-12:
+        if rr < enough:
             break
-        q = scale * back(forward(scale * p)) + ridge * scale**2 * p
+        q = scale * normal(scale * p) + ridge * scale**2 * p
         a = rr / (p @ q)
         v, r = v + a * p, r - a * q
         before, rr = rr, r @ r
@@ -155,15 +191,15 @@ def rarest(levels: np.ndarray, between: tuple[float, float, float]) -> float:
 
 def reading_levels(
     documents: DataFrame, doc_id: str = "doc_id", text: str = "text", least_words: int = 40, english_share: float = 0.12, least_count: int = 5, least_share: float = 2e-6,
-    graded: DataFrame | None = None, fit_rows: int = 10_000,
+    graded: DataFrame | None = None,
 ) -> DataFrame:
     """``doc_id, band, grade``: English documents with at least ``least_words`` words.
 
     - ``grade`` is the level in years of schooling; band 1, 2 or 3 by cuts that lie
       where levels are rarest between the years of CUTS.
     - ``graded``: text, grade; without it the corpus's texts are graded by formula.
-      The words' grades are fitted on about ``fit_rows`` graded texts, those of
-      least id hash; known words, levels and cuts come from all documents.
+      The words' grades are fitted on all graded texts; known words, levels and
+      cuts come from all documents.
     - Null, short, empty and non-English texts give no row; where no word is known
       or nothing is graded, sentence length alone tells. Repeated rows give a row each.
     """
@@ -173,9 +209,8 @@ def reading_levels(
         lessons = words
     else:
         lessons = english_words(graded.select(F.xxhash64("text").alias("id"), "text", "grade").where("grade is not null"), "id", "text", 1, 0.0, "grade")
-    share = min(1.0, fit_rows / max(1, lessons.count()))
-    lessons = lessons.where(F.pmod(F.xxhash64("id", F.lit(5)), F.lit(1 << 20)) < share * (1 << 20)).select("words", "length", "formula")
-    grades, per_word, constant = fitted_grades(lessons.mapInArrow(_coded(vocabulary), "codes array<int>, length double, formula double").toPandas(), len(vocabulary))
+    coded = materialise(lessons.select("words", "length", "formula").mapInArrow(_coded(vocabulary), "codes array<int>, length double, formula double"), "coded")
+    grades, per_word, constant = fitted_grades(coded, len(vocabulary))
     unknown = len(vocabulary) == 0
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -90,3 +90,11 @@ def test_levels(spark):
     told = spark.createDataFrame([(1, lessons[0][0] * 3), (2, lessons[-1][0] * 3)], "doc_id bigint, text string")
     graded = {x.doc_id: x.grade for x in reading_levels(told.union(told.selectExpr("doc_id + 10", "text")), graded=spark.createDataFrame(lessons, "text string, grade double"), least_count=1).collect()}
     assert abs(graded[1] - 4) < 0.5 and abs(graded[2] - 14) < 0.5
+
+
+def test_grades_come_from_all_graded_texts(spark):
+    line = "the quoin of a quoin is in "
+    lessons = [(f"{line}x{k}.", 1008.0 if k % 500 == 0 else 8.0) for k in range(20_000)]  # rare ones, of which a sample holds too many or too few
+    told = spark.createDataFrame([(1, " ".join(f"{line}z{k}." for k in range(8)))], "doc_id bigint, text string")
+    got = reading_levels(told, graded=spark.createDataFrame(lessons, "text string, grade double"), least_count=2).first()
+    assert abs(got.grade - 10) < 0.01
