@@ -31,6 +31,8 @@ STEP, LOWEST, HIGHEST = 0.1, -10.0, 60.0
 FRAGMENT_WORDS = 3
 #: Numbers of a vector that are summed together.
 PIECE = 1 << 14
+#: Words whose grades are solved for together, and texts that are laid out at once for that.
+BLOCK, TEXTS = 1022, 2048
 
 
 def pieces(text: Column) -> Column:
@@ -104,6 +106,32 @@ def _coded(vocabulary: np.ndarray):
     return code
 
 
+def _gram(chosen: np.ndarray | None, n: int):
+    """Products of the columns of chosen words (all if none), sentence length and constant, and of each with the grades: upper triangles in a row."""
+    place = np.full(n + 2, -1)
+    place[np.arange(n + 2) if chosen is None else chosen] = np.arange(n + 2 if chosen is None else len(chosen))
+    k = int(place.max()) + 1
+
+    def products(at: np.ndarray, off: np.ndarray, b: pa.RecordBatch) -> list[np.ndarray]:
+        total, back = np.zeros((k, k)), np.zeros(k)
+        lengths, grades = b.column("length").to_numpy(), b.column("formula").to_numpy()
+        for first in range(0, len(off) - 1, TEXTS):
+            o = off[first : first + TEXTS + 1]
+            held = np.diff(o)
+            used = held > 0
+            col, share = place[at[o[0] : o[-1]]], np.repeat(1.0 / np.maximum(held, 1), held)
+            text = np.repeat(np.arange(len(held)), held)
+            ok = col >= 0
+            x = np.bincount(text[ok] * k + col[ok], weights=share[ok], minlength=len(held) * k).reshape(len(held), k)
+            x[:, place[n]] = np.where(used, lengths[first : first + TEXTS] / 10, 0.0)
+            x[:, place[n + 1]] = used
+            total += x.T @ x
+            back += np.where(used, grades[first : first + TEXTS], 0.0) @ x
+        return [total[np.triu_indices(k)], back]
+
+    return products, k
+
+
 def _totals(coded: DataFrame, n: int, vectors: Callable[[np.ndarray, np.ndarray, pa.RecordBatch], list[np.ndarray]], k: int) -> np.ndarray:
     """Sums over all texts of k vectors of n numbers, added up in pieces: no worker and not the driver gathers more than a piece of each partition."""
 
@@ -133,6 +161,9 @@ def fitted_grades(coded: DataFrame, n: int, rounds: int = 60, ridge: float = 1e-
     ``coded``: codes, length, formula. Conjugate gradients on the normal
     equations, each round one pass over the texts, until the squared residual has
     fallen to ``close`` of its first; texts without any known word don't count.
+    The equations of the ``BLOCK`` words with the largest diagonals, of sentence
+    length and of the constant are summed whole in one pass and solved directly:
+    where these are all, that is the fit, else each round begins from it.
     """
     if not n:
         return np.zeros(n), 0.39, 0.0
@@ -156,23 +187,43 @@ def fitted_grades(coded: DataFrame, n: int, rounds: int = 60, ridge: float = 1e-
 
         return _totals(coded, n + 2, there_and_back, 1)[0]
 
+    def together(chosen: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        products, k = _gram(chosen, n)
+        sums = _totals(coded, k * (k + 1) // 2 + k, lambda at, off, b: [np.concatenate(products(at, off, b))], 1)[0]
+        upper = np.zeros((k, k))
+        upper[np.triu_indices(k)] = sums[:-k]
+        return upper + np.triu(upper, 1).T, sums[-k:]
+
+    if n <= BLOCK:
+        whole, back = together(None)
+        if not whole[n + 1, n + 1]:
+            return np.zeros(n), 0.39, 0.0
+        v = np.linalg.solve(whole + ridge * np.eye(n + 2), back)
+        return v[:n], v[n] / 10, v[n + 1]
     back, diagonal = _totals(coded, n + 2, first, 2)
     if not diagonal[n + 1]:
         return np.zeros(n), 0.39, 0.0
-    v = np.zeros(n + 2)
-    scale = 1.0 / np.sqrt(diagonal + ridge)
-    r = back * scale
-    p, rr = r.copy(), r @ r
-    enough = max(1e-12, close * rr)
+    chosen = np.sort(np.concatenate([np.argsort(-diagonal[:n], kind="stable")[:BLOCK], [n, n + 1]]))
+    inverse = np.linalg.inv(together(chosen)[0] + ridge * np.eye(len(chosen)))
+
+    def nearly(r: np.ndarray) -> np.ndarray:
+        z = r / (diagonal + ridge)
+        z[chosen] = inverse @ r[chosen]
+        return z
+
+    v, r = np.zeros(n + 2), back
+    z = nearly(r)
+    p, rz = z, r @ z
+    enough = close * rz
     for _ in range(rounds):
-        if rr < enough:
+        if rz <= enough:
             break
-        q = scale * normal(scale * p) + ridge * scale**2 * p
-        a = rr / (p @ q)
+        q = normal(p) + ridge * p
+        a = rz / (p @ q)
         v, r = v + a * p, r - a * q
-        before, rr = rr, r @ r
-        p = r + rr / before * p
-    v = v * scale
+        z = nearly(r)
+        before, rz = rz, r @ z
+        p = z + rz / before * p
     return v[:n], v[n] / 10, v[n + 1]
 
 

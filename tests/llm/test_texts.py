@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from sievework.llm import leaks, mixing
+from sievework.llm import leaks, mixing, reading
 from sievework.llm.reading import reading_levels
 
 ITEM = "the quick brown fox jumps over the lazy dog while seven wizards watch from the hill"
@@ -98,3 +98,20 @@ def test_grades_come_from_all_graded_texts(spark):
     told = spark.createDataFrame([(1, " ".join(f"{line}z{k}." for k in range(8)))], "doc_id bigint, text string")
     got = reading_levels(told, graded=spark.createDataFrame(lessons, "text string, grade double"), least_count=2).first()
     assert abs(got.grade - 10) < 0.01
+
+
+def test_fit_solves_the_equations(spark, monkeypatch):
+    r = np.random.default_rng(4)
+    rows = [([int(x) for x in r.zipf(1.3, r.integers(0, 30)) if x <= 40], float(r.uniform(5, 30)), float(r.uniform(1, 15))) for _ in range(900)]
+    rows = [([x - 1 for x in w], length, y) for w, length, y in rows]
+    x = np.array([[*np.bincount(w, minlength=40) / max(1, len(w)), length / 10, 1.0] if w else [0.0] * 42 for w, length, _ in rows])
+    want = np.linalg.solve(x.T @ x + 1e-3 * np.eye(42), x.T @ [y for *_, y in rows])
+    coded, passes = spark.createDataFrame(rows, "codes array<int>, length double, formula double").repartition(3), []
+    totals = reading._totals
+    monkeypatch.setattr(reading, "_totals", lambda *a: passes.append(1) or totals(*a))
+    for block, most in ((1022, 1), (30, 30)):
+        monkeypatch.setattr(reading, "BLOCK", block)
+        passes.clear()
+        grades, per_word, constant = reading.fitted_grades(coded, 40)
+        assert np.allclose([*grades, per_word * 10, constant], want, atol=1e-2) and len(passes) <= most, (block, len(passes))
+    assert reading.fitted_grades(coded.limit(0), 40)[1] == 0.39
